@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.functions.text import NOT_WORD_AHEAD
@@ -87,31 +87,40 @@ WEIGHT_PATTERN = r"(\d+(?:[.,]\d+)?)\s*[-~]?\s*(\d+(?:[.,]\d+)?)?\s*(кг|kg|г|
 VOLUME_PATTERN = r"(\d+(?:[.,]\d+)?)\s*(л|l|мл|ml)"
 
 
-def weights(text: Column) -> dict[str, Column]:
-    """All weight mentions in kg: net, package and piece weight, variable and bulk flags."""
-    found = _mentions(F.lower(text), WEIGHT_PATTERN + NOT_WORD_AHEAD, 3)
+def with_weights(df: DataFrame, text: Column) -> DataFrame:
+    """Adds net, package and piece weight in kg and the variable and bulk flags.
 
+    The mentions are parsed once, in their own projection, since several columns read them.
+    """
     def to_kg(m: Column) -> Column:
-        low, high = number(m["0"]), number(m["1"])
-        mean = F.when(m["1"] != "", (low + high) / 2).otherwise(low)
-        return F.when(m["2"].isin("г", "гр", "g"), mean / 1000).otherwise(mean)
+        low, high = number(m["g1"]), number(m["g2"])
+        mean = F.when(m["g2"] != "", (low + high) / 2).otherwise(low)
+        return F.when(m["g3"].isin("г", "гр", "g"), mean / 1000).otherwise(mean)
 
-    kg = F.transform(found, to_kg)
+    kg = F.col("_kg")
     top, low, n = F.array_max(kg), F.array_min(kg), F.size(kg)
-    bulk = F.coalesce((n > 1) & (top >= 2.0) & (low > 0) & (top / F.greatest(low, F.lit(1e-9)) >= 5), F.lit(False))
-    return {
-        "net_weight_kg": F.when(bulk, low).otherwise(top),
-        "package_weight_kg": F.when(bulk, top),
-        "piece_weight_kg": F.when(n > 1, low),
-        "variable_weight": F.exists(found, lambda m: m["1"] != ""),
-        "bulk_package": bulk,
-    }
+    ratio = top / F.greatest(low, F.lit(1e-9))
+    parsed = df.withColumn("_mentions", _mentions(F.lower(text), WEIGHT_PATTERN + NOT_WORD_AHEAD, 3)).withColumn(
+        "_kg", F.transform("_mentions", to_kg)
+    )
+    return (
+        parsed.withColumn("bulk_package", F.coalesce((n > 1) & (top >= 2.0) & (low > 0) & (ratio >= 5), F.lit(False)))
+        .withColumns(
+            {
+                "net_weight_kg": F.when(F.col("bulk_package"), low).otherwise(top),
+                "package_weight_kg": F.when(F.col("bulk_package"), top),
+                "piece_weight_kg": F.when(n > 1, low),
+                "variable_weight": F.exists("_mentions", lambda m: m["g2"] != ""),
+            }
+        )
+        .drop("_mentions", "_kg")
+    )
 
 
 def net_volume(text: Column) -> Column:
     found = _mentions(F.lower(text), VOLUME_PATTERN + NOT_WORD_AHEAD, 2)
     return F.array_max(
-        F.transform(found, lambda m: F.when(m["1"].isin("мл", "ml"), number(m["0"]) / 1000).otherwise(number(m["0"])))
+        F.transform(found, lambda m: F.when(m["g2"].isin("мл", "ml"), number(m["g1"]) / 1000).otherwise(number(m["g1"])))
     )
 
 
@@ -210,14 +219,14 @@ def pack_explanation(ref_type: Column, ref_qty: Column, qty: Column, packs: Colu
     """Text such as ``3 × 500 г = 1.5 кг``."""
     def show(amount: Column) -> Column:
         def scaled(big: str, small: str) -> Column:
-            return F.when(amount >= 1000, F.format_string(f"%.1f {big}", amount / 1000)).otherwise(
-                F.format_string(f"%.0f {small}", amount)
+            return F.when(amount >= 1000, F.format_string(f"%.1f {big}", F.bround(amount / 1000, 1))).otherwise(
+                F.format_string(f"%.0f {small}", F.bround(amount, 0))
             )
 
         return (
             F.when(ref_type == "WEIGHT", scaled("кг", "г"))
             .when(ref_type == "VOLUME", scaled("л", "мл"))
-            .when(ref_type == "PIECE", F.format_string("%.0f шт", amount))
+            .when(ref_type == "PIECE", F.format_string("%.0f шт", F.bround(amount, 0)))
         )
 
     text = F.concat(packs.cast("string"), F.lit(" × "), show(qty), F.lit(" = "), show(ref_qty))
