@@ -164,3 +164,12 @@ def clean_code(raw: Column) -> Column:
     t = F.trim(raw)
     t = F.regexp_replace(t, r"^(\d+)\.0+$", "$1")
     return F.when((t != "") & (F.lower(t) != "nan"), t)
+
+
+def word_groups(words: Column, max_words: int) -> Column:
+    """Distinct runs of one to ``max_words`` neighbouring words, joined by spaces."""
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    return F.array_distinct(F.flatten(F.array(*[runs(n) for n in range(1, max_words + 1)])))
