@@ -279,9 +279,10 @@ def q_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     ]
     out = None
     for name, left, right in pairs:
-        total = left.agg(F.count("*").alias("n_total"))
-        missing = left.subtract(right).agg(F.count("*").alias("n_missing"))
-        row = total.join(missing, F.lit(True)).select(F.lit(name).alias("check"), "n_total", "n_missing")
+        rows = left.select(F.lit(1).alias("t"), F.lit(0).alias("m")).unionByName(
+            left.subtract(right).select(F.lit(0).alias("t"), F.lit(1).alias("m"))
+        )
+        row = rows.agg(F.sum("t").alias("n_total"), F.sum("m").alias("n_missing")).withColumn("check", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -41,11 +41,10 @@ def match_all(queries: DataFrame, index: DataFrame) -> DataFrame:
 def match_prefix(prefixes: DataFrame, index: DataFrame) -> DataFrame:
     """(query_id, name) where a word of the name starts with the query's prefix. ``prefixes``: query_id, prefix.
 
-    The vocabulary is cut to the prefix lengths asked for, so this stays an equi-join.
+    Every word of the vocabulary is cut to all its starts, so this stays an equi-join.
     """
-    lengths = prefixes.select(F.length("prefix").alias("n")).distinct().agg(F.collect_set("n").alias("ns"))
-    vocabulary = index.select("token").distinct().join(F.broadcast(lengths), F.lit(True))
-    starts = vocabulary.select("token", F.explode(F.filter("ns", lambda n: n <= F.length("token"))).alias("n"))
+    vocabulary = index.select("token").distinct()
+    starts = vocabulary.select("token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("n"))
     starts = starts.select("token", F.col("token").substr(F.lit(1), F.col("n")).alias("prefix"))
     return prefixes.join(starts, "prefix").join(index, "token").select("query_id", "name").distinct()
 
