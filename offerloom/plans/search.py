@@ -164,9 +164,9 @@ def q_token_index(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_document_index(spark: SparkSession, sf: str) -> DataFrame:
     """Lemma index over the whole documents: documents and uses of every lemma."""
-    stems = F.transform(query_words(F.col("text")), short_stem)
     return (
-        d.table(spark, sf, "documents").select("doc_id", F.explode(stems).alias("lemma"))
+        d.table(spark, sf, "documents").select("doc_id", F.explode(query_words(F.col("text"))).alias("word"))
+        .select("doc_id", short_stem(F.col("word")).alias("lemma"))
         .groupBy("lemma").agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_uses"))
     )
 
