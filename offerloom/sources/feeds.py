@@ -34,6 +34,12 @@ class Feed:
     columns: dict[str, str] = field(default_factory=dict)
 
 
+# Upper halves of Latin-1 and Windows-1251. Spark reads the former but not the latter, so such files are read as Latin-1
+# and their letters are mapped.
+_HIGH = bytes(b for b in range(0x80, 0x100) if b != 0x98)
+LATIN_1, CYRILLIC = _HIGH.decode("latin-1"), _HIGH.decode("cp1251")
+
+
 def map_header(cells: list[str]) -> dict[str, int]:
     """Field to column position; a column serves one field, and a field takes its first fitting column."""
     out: dict[str, int] = {}
@@ -60,7 +66,11 @@ def read_feed(spark: SparkSession, feed: Feed) -> DataFrame:
 
     Only the few header candidates come to the driver; the rows stay on Spark.
     """
-    raw = spark.read.option("sep", feed.sep).option("encoding", feed.encoding).option("quote", '"').csv(feed.path)
+    cyrillic = feed.encoding.lower() in ("cp1251", "windows-1251")
+    encoding = "ISO-8859-1" if cyrillic else feed.encoding
+    raw = spark.read.option("sep", feed.sep).option("encoding", encoding).option("quote", '"').csv(feed.path)
+    if cyrillic:
+        raw = raw.select(*[F.translate(F.col(c), LATIN_1, CYRILLIC).alias(c) for c in raw.columns])
     head = raw.limit(HEADER_ROWS).collect()
     found = find_header([[c for c in row] for row in head])
     if found is None and not feed.columns:
