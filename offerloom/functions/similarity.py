@@ -1,0 +1,54 @@
+"""Text ratios that have no built-in expression, as Arrow-batched functions over pairs that passed the gates."""
+
+from __future__ import annotations
+
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        left = 0
+        for j, y in enumerate(b, 1):
+            up = row[j]
+            row[j] = left + 1 if x == y else max(up, row[j - 1])
+            left = up
+    return row[-1]
+
+
+def _ratio(a: str, b: str) -> float:
+    return 100.0 * 2 * _common(a, b) / (len(a) + len(b)) if a or b else 100.0
+
+
+@F.pandas_udf(T.DoubleType())
+def token_set_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Best ratio among the shared words and each side's own words added to them, 0 to 100."""
+    out = []
+    for a, b in zip(left, right):
+        x, y = set(a.lower().split()), set(b.lower().split())
+        both, only_x, only_y = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+        if both and (not only_x or not only_y):
+            out.append(100.0)
+            continue
+        full_x, full_y = f"{both} {only_x}".strip(), f"{both} {only_y}".strip()
+        out.append(max([_ratio(full_x, full_y)] + ([_ratio(both, full_x), _ratio(both, full_y)] if both else [])))
+    return pd.Series(out, dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def name_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Mean of the Jaccard share and the sequence ratio of two token arrays, 0 to 1."""
+    out = []
+    for a, b in zip(left, right):
+        x, y = set(a), set(b)
+        if not x or not y:
+            out.append(0.0)
+            continue
+        ratio = SequenceMatcher(None, " ".join(sorted(x)), " ".join(sorted(y))).ratio()
+        out.append((len(x & y) / len(x | y) + ratio) / 2)
+    return pd.Series(out, dtype="float64")
