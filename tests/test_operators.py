@@ -136,3 +136,13 @@ def test_stream_import_by_files(spark):
     jobs.import_stream(raw, f"{base}/first", f"{base}/out", f"{base}/log", "v").awaitTermination()
     got = {(r.unique_key, r.price, r.active) for r in jobs.newest_version(spark, f"{base}/out").collect()}
     assert got == {("1:10", 20.0, True), ("2:7", 50.0, True)}
+
+
+def test_fingerprint_of_large_carts(spark):
+    from offerloom.plans.cart import fingerprint
+
+    rows = [(c, 100 + i, float(i % 5), i % 4 == 0) for c in (1, 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "cart_id bigint, anchor_offer_id bigint, qty double, locked boolean")
+    plain = {r.cart_id: (r.cart_hash, r.n_lines) for r in fingerprint(df).collect()}
+    split = {r.cart_id: (r.cart_hash, r.n_lines) for r in fingerprint(df.orderBy(F.rand(3)), max_lines=10).collect()}
+    assert plain[1] == plain[2] and split[1] == split[2] and plain[1][0] != split[1][0] and split[1][1] == 40
