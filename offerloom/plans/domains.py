@@ -58,10 +58,10 @@ def rejections(offers: DataFrame) -> DataFrame:
     in_domain = total.groupBy("domain").agg(F.sum("n").alias("n_domain"))
     species = total.filter("domain IS NOT NULL").select("domain", "species", F.col("n").alias("n_species"))
     keys = offers.filter("domain IS NOT NULL").select("cell", "domain", "species").distinct()
-    constants = live.agg(
-        F.sum(F.col("blacklisted").cast("bigint")).alias("n_black"), F.sum((~F.col("blacklisted")).cast("bigint")).alias("n_all")
-    ).withColumn("one", F.lit(1))
-    keys = keys.join(in_domain, "domain", "left").join(species, ["domain", "species"], "left").withColumn("one", F.lit(1)).join(F.broadcast(constants), "one")
+    n_black = live.agg(F.sum(F.col("blacklisted").cast("bigint")).alias("n")).scalar()
+    n_all = live.agg(F.sum((~F.col("blacklisted")).cast("bigint")).alias("n")).scalar()
+    keys = keys.join(in_domain, "domain", "left").join(species, ["domain", "species"], "left")
+    keys = keys.withColumns({"n_black": n_black, "n_all": n_all})
     n_domain, n_species = F.coalesce("n_domain", F.lit(0)), F.coalesce("n_species", F.lit(0))
     coarse = F.array(
         F.struct(F.lit("FORBIDDEN_CLASS").alias("reason"), F.col("n_black").alias("n")),

@@ -38,6 +38,28 @@ def canon_rows(rows, columns):
     return sorted([tuple(_canon(r[i]) for i in order) for r in rows], key=str)
 
 
+LOOPS = ("CartesianProduct", "BroadcastNestedLoopJoin")
+
+
+def pair_loops(df) -> list[str]:
+    """Operators of the plan that meet every row of one side with every row of the other."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [name for name in LOOPS if name in plan]
+
+
+def watch_writes(found: list) -> None:
+    """Looks at the plans of intermediate tables as well, when they are written."""
+    from pyspark.sql import DataFrameWriter
+
+    plain = DataFrameWriter.parquet
+
+    def parquet(self, *args, **kwargs):
+        found.extend(pair_loops(self._df))
+        return plain(self, *args, **kwargs)
+
+    DataFrameWriter.parquet = parquet
+
+
 def compare(spark, con, name, query, sql, sf_dir):
     t0 = time.time()
     df = query(spark, sf_dir)
@@ -70,13 +92,24 @@ if __name__ == "__main__":
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     queries, sqls = entry.queries(), entry.oracle_sql()
-    bad = []
+    bad, loops = [], []
+    watch_writes(loops)
     for name in args or queries:
+        loops.clear()
+        query = queries[name]
+
+        def watched(session, path, query=query):
+            df = query(session, path)
+            loops.extend(pair_loops(df))
+            return df
+
         try:
-            res = compare(spark, con, name, queries[name], sqls.get(name), sf)
+            res = compare(spark, con, name, watched, sqls.get(name), sf)
         except Exception as exc:  # report and go on with the next query
             res = ("ERROR", None, None, 0.0, 0.0, str(exc)[:1500])
         print(f"{name:28s} {res[0]:9s} rows={res[1]} oracle={res[2]} spark={res[3]:.1f}s duck={res[4]:.1f}s", flush=True)
+        if loops:
+            print("     PAIR LOOP", sorted(set(loops)), flush=True)
         if res[0] not in ("ok", "rows-only"):
             bad.append(name)
             print("    ", str(res[5])[:1800], flush=True)
