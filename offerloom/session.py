@@ -26,11 +26,16 @@ def build_session(app: str = "offerloom", cores: str = "*", shuffle_partitions:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
+    """Shared folder named by ``spark.checkpoint.dir``.
+
+    Only a session whose executors run inside the driver (tests, the bench) may leave the setting empty; it then gets a
+    temporary folder. Anything else is an error, as executors would not share such a folder.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="offerloom-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured
