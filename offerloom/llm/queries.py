@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from offerloom.llm import bpe, minhash
+from offerloom.llm import bpe, langid, minhash
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -23,9 +23,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE: dict[str, str] = {}
