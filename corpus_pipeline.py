@@ -1,3 +1,76 @@
-STAGES=[]
-QUERIES={}
-ORACLE={}
+"""The corpus pipeline: language, near-duplicates, secrets, mixture, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes every stage as Parquet to the shared folder
+and hands it, read again, to the next. All but the last stage return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from offerloom.llm import bpe, langid, minhash, mixing, secrets
+from offerloom.llm.queries import TOKENIZER
+from offerloom.session import cut_lineage
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language (null text, or no letter); ``lang`` becomes the predicted one."""
+    model = spark.sparkContext.broadcast(langid.train(docs))
+    rows = langid.with_language(docs.select(COLUMNS), model)
+    return rows.where(F.col("lang") != langid.NO_LANGUAGE)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document (the smallest doc_id) of every near-duplicate group: five words, similarity 0.8 or more.
+
+    Of rows that repeat a kept doc_id with the same content, one stays."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    same = docs.select(COLUMNS).withColumn("_key", F.col("doc_id").cast("bigint"))
+    named = same.join(kept.where("doc_id is not null").withColumnRenamed("doc_id", "_key"), "_key", "left_semi")
+    return named.unionByName(same.where("_key is null")).drop("_key")
+
+
+def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret in the texts by a mark; ``n_chars`` follows the text. All documents stay."""
+    out = secrets.redact(docs.select(COLUMNS))
+    return out.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats every document as often as the mixture takes it; documents without words stay once."""
+    mixed = mixing.mix(docs).where("size > 0").groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
+    rows = docs.select(COLUMNS).join(mixed, "doc_id", "left")
+    times = F.when(mixing.word_count() == 0, 1).otherwise(F.coalesce("_times", F.lit(1)))
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests per document; a document that the mixture repeats has as many rows."""
+    return bpe.token_digests(docs, bpe.read_ranks(public_tokenizers.path(TOKENIZER)), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("no_secrets", no_secrets),
+    ("mixture", mixture),
+    ("tokens", tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: Language models, guess costs and merges have no SQL; tests hold the stages against brute-force versions.
+ORACLE_SQL = None
+
+QUERIES = {"pipeline": run}
+ORACLE: dict[str, str] = {}

@@ -195,3 +195,15 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(remainder() == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+
+
+def with_language(docs: DataFrame, shared) -> DataFrame:
+    """The rows with ``lang`` set to the predicted language; all other columns stay. ``shared`` is a broadcast model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, _ = predict_batch(batch.column("text").fill_null("").to_pylist(), shared.value)
+            at = batch.schema.get_field_index("lang")
+            yield batch.set_column(at, batch.schema.field(at), pa.array(names, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from offerloom.llm import bpe, langid, minhash
+from offerloom.llm import bpe, langid, minhash, mixing, secrets
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -14,10 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.MinHash(words=2))
 
 
+def op6_min_cost_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(TOKENIZER))
     return bpe.token_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -28,7 +36,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_guess_cost_secrets": op2_guess_cost_secrets,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op6_min_cost_mix": op6_min_cost_mix,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_language_id": op9_language_id,
 }
