@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from offerloom.llm import bpe, langid, minhash, mixing, secrets
+from offerloom.llm import bpe, langid, minhash, mixing, secrets, toxicity
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nb_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_nb_ngram_toxicity": op1_nb_ngram_toxicity,
     "op2_guess_cost_secrets": op2_guess_cost_secrets,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op6_min_cost_mix": op6_min_cost_mix,
