@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from offerloom.llm import bpe, langid, minhash, mixing, secrets, toxicity
+from offerloom.llm import bpe, fingerprint, langid, minhash, mixing, secrets, toxicity
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -26,6 +26,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.MinHash(words=2))
 
 
+def op5_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_min_cost_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op1_nb_ngram_toxicity": op1_nb_ngram_toxicity,
     "op2_guess_cost_secrets": op2_guess_cost_secrets,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op5_multiset_fingerprint": op5_multiset_fingerprint,
     "op6_min_cost_mix": op6_min_cost_mix,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_language_id": op9_language_id,
