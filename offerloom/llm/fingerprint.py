@@ -38,19 +38,17 @@ def vector(text: Column) -> Column:
 
 
 def _summed(entries: Column) -> Column:
-    """Entries (lane, value) with the values of one lane added modulo the power."""
-
-    def sums(all_: Column) -> Column:
-        lanes = F.array_sort(F.array_distinct(F.transform(all_, lambda e: e["lane"])))
-        return F.transform(
-            lanes,
-            lambda lane: F.struct(
-                lane.alias("lane"),
-                F.aggregate(all_, F.lit(0).cast("bigint"), lambda acc, e: F.when(e["lane"] == lane, _low(acc + e["value"])).otherwise(acc)).alias("value"),
-            ),
-        )
-
-    return F.get(F.transform(F.array(entries), sums), F.lit(0))
+    """Entries (lane, value) with the values of one lane added modulo the power, in order of lane."""
+    kind = "array<struct<lane:int,value:bigint>>"
+    start = F.struct(F.array().cast(kind).alias("done"), F.lit(-1).alias("lane"), F.lit(0).cast("bigint").alias("value"))
+    shut = lambda acc: F.concat(acc["done"], F.array(F.struct(acc["lane"].alias("lane"), acc["value"].alias("value"))))
+
+    def step(acc: Column, e: Column) -> Column:
+        same = F.struct(acc["done"].alias("done"), acc["lane"].alias("lane"), _low(acc["value"] + e["value"]).alias("value"))
+        other = F.struct(shut(acc).alias("done"), e["lane"].alias("lane"), e["value"].alias("value"))
+        return F.when(acc["lane"] == e["lane"], same).otherwise(other)
+
+    return F.aggregate(F.array_sort(entries), start, step, lambda acc: F.filter(shut(acc), lambda e: e["lane"] >= 0))
 
 
 def add(left: Column, right: Column) -> Column:
