@@ -1,8 +1,8 @@
 """Document fingerprints by a homomorphic multiset hash, in DataFrame functions alone.
 
 A text is cut into pieces: paragraphs (lines), and these at sentence ends. Every piece hashes to a sparse wide vector: one
-of ``LANES`` lanes, chosen by the hash, holds a value of up to 62 bits. The fingerprint is the sum of the vectors modulo
-2^62 in each lane. Sums don't depend on order, so texts with the same pieces are equal whatever their order, and a piece
+of ``LANES`` lanes, chosen by the hash, holds a value of up to 56 bits. The fingerprint is the sum of the vectors modulo
+2^56 in each lane. Sums don't depend on order, so texts with the same pieces are equal whatever their order, and a piece
 is inserted or deleted by adding or subtracting its vector (``add``, ``subtract``). As a piece touches one lane only, the
 share of equal lanes tells how alike two texts are.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 LANES = 128
 #: Lane sums are taken modulo this power of two.
-MODULUS_BITS = 62
+MODULUS_BITS = 56
 PIECE_END = r"\n+|(?<=[.!?])\s+"
 #: Ranges of doc_id that an approximate quantile cuts, rows that a range is divided for, and the quantile's accuracy.
 QUANTILES, ROWS_PER_PART = 64, 2_000
@@ -69,7 +69,8 @@ def digest(vec: Column) -> Column:
 
 def likeness(left: Column, right: Column) -> Column:
     """Equal lanes among those that hold a piece of either text, 0 to 1; two empty vectors are alike (1)."""
-    both = F.size(F.array_intersect(left, right))
+    packed = [F.transform(v, lambda e: F.shiftleft(e["lane"].cast("bigint"), MODULUS_BITS) + e["value"]) for v in (left, right)]
+    both = F.size(F.array_intersect(*packed))
     lanes = F.size(F.array_union(F.transform(left, lambda e: e["lane"]), F.transform(right, lambda e: e["lane"])))
     return F.when(lanes == 0, F.lit(1.0)).otherwise(both / lanes)
 
