@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from offerloom.llm import bpe, fingerprint, langid, minhash, mixing, secrets, toxicity
+from offerloom.llm import bpe, embeddings, fingerprint, langid, minhash, mixing, secrets, toxicity
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -39,6 +39,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op8_pca_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op5_multiset_fingerprint": op5_multiset_fingerprint,
     "op6_min_cost_mix": op6_min_cost_mix,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_pca_embedding_dedup": op8_pca_embedding_dedup,
     "op9_language_id": op9_language_id,
 }
 
