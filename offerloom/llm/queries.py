@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from offerloom.llm import bpe, embeddings, fingerprint, langid, minhash, mixing, secrets, toxicity
+from offerloom.llm import bpe, embeddings, fingerprint, langid, minhash, mixing, pages, secrets, toxicity
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -47,6 +47,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_url_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_nb_ngram_toxicity": op1_nb_ngram_toxicity,
     "op2_guess_cost_secrets": op2_guess_cost_secrets,
@@ -56,6 +60,7 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_pca_embedding_dedup": op8_pca_embedding_dedup,
     "op9_language_id": op9_language_id,
+    "op10_url_page_diff": op10_url_page_diff,
 }
 
 ORACLE: dict[str, str] = {}
