@@ -5,11 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from offerloom.llm import bpe, embeddings, fingerprint, langid, minhash, mixing, pages, secrets, toxicity
+from offerloom.llm import bpe, embeddings, fingerprint, langid, minhash, mixing, pages, secrets, tokencount, toxicity
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
+#: Its pieces and scores are read as a unigram vocabulary.
+UNIGRAM = "piece_bpe_32k.model"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,6 +30,11 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.MinHash(words=2))
 
 
+def op4_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokencount.Vocabulary.read(public_tokenizers.path(UNIGRAM))
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op5_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -55,6 +64,7 @@ QUERIES = {
     "op1_nb_ngram_toxicity": op1_nb_ngram_toxicity,
     "op2_guess_cost_secrets": op2_guess_cost_secrets,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_viterbi_token_counts": op4_viterbi_token_counts,
     "op5_multiset_fingerprint": op5_multiset_fingerprint,
     "op6_min_cost_mix": op6_min_cost_mix,
     "op7_byte_bpe": op7_byte_bpe,
