@@ -24,7 +24,7 @@ from offerloom.session import cut_lineage
 
 MASK = (1 << 64) - 1
 #: Centres of a bucket in each round after the first.
-LATER_STARS = 4
+LATER_STARS = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -187,41 +187,39 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
 
     ``component_id`` is the smallest doc_id that links reach, ``kept`` whether that is the document itself. Texts without
     words (null, empty, white space) link with nothing. Rows with a null doc_id can't be named by a component: they are
-    returned with a null component and kept. Rows that repeat a doc_id share its component, each with its own set.
+    returned with a null component and kept. Rows that repeat a doc_id link the sets of all of them;
+    one of them without words names its own doc_id.
     """
     sk = cut_lineage(sketches(docs, how), "sketches")
-    named = sk.where("doc_id is not null")
-    full = named.where("n_shingles > 0")
     same = ["n_shingles", "one", "two"]
+    full = sk.where("doc_id is not null and n_shingles > 0")
     classes = cut_lineage(full.groupBy(same).agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "classes")
-    linked = full.join(classes.drop("keys"), same).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    banded = classes.select(F.col("id").alias("doc_id"), F.explode("keys").alias("key")).distinct()
+    placed = sk.drop("keys").join(classes.drop("keys"), same, "left")
+    # A doc_id that several classes hold links them.
+    several = placed.where("doc_id is not null and id is not null").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z")
+    given = placed.join(several.drop("z"), "doc_id").select("a", F.col("id").alias("b")).distinct()
+    banded = classes.select("id", F.explode("keys").alias("key")).distinct()
     buckets = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     members = cut_lineage(banded.join(buckets, "key"), "members")
-    wanted = members.select("doc_id").distinct()
-    sets = cut_lineage(full_sets(docs.join(wanted, "doc_id", "left_semi"), how).dropDuplicates(["id", "shingles"]), "sets")
-    links = cut_lineage(linked.distinct(), "links")
-    links = confirm_stars(members.select("key", F.col("doc_id").alias("id")), sets, links, how.percent)
-    found = components(named.select(F.col("doc_id").alias("id")).distinct(), links)
-    out = sk.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        F.col("component").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"),
-    )
+    wanted = members.select(F.col("id").alias("doc_id")).distinct()
+    sets = cut_lineage(full_sets(docs.join(wanted, "doc_id", "left_semi"), how).distinct(), "sets")
+    labels = confirm_stars(members, sets, given, how.percent)
+    out = placed.join(labels, "id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def confirm_stars(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) among the members (key, id) of buckets, with ``links`` before them.
+def confirm_stars(members: DataFrame, sets: DataFrame, given: DataFrame, percent: int) -> DataFrame:
+    """Components (id, component) of the members (key, id) of buckets under the ``given`` links (a, b) and confirmed ones.
 
     Each round takes per open bucket the first member, in a hash order, of its smallest component (after the first round,
     of its few smallest ones) and compares it with the members of other components, unless that pair has been compared
     already. A bucket is open while its members lie in several components.
     """
     failed, stars = None, 1
+    nodes = members.select("id").distinct().unionByName(given.select(F.col("a").alias("id"))).unionByName(given.select(F.col("b").alias("id")))
+    labels = cut_lineage(components(nodes.distinct(), given), "labels")
     while True:
-        labels = components(members.select("id").distinct(), links)
         seen = cut_lineage(members.join(labels, "id"), "seen")
         parts = seen.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("first"))
         order = Window.partitionBy("key").orderBy("n", "first")
@@ -229,7 +227,7 @@ def confirm_stars(members: DataFrame, sets: DataFrame, links: DataFrame, percent
         centres = parts.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= stars).join(open_, "key", "left_semi")
         centres = cut_lineage(centres.select("key", F.col("first.id").alias("centre"), F.col("component").alias("own")), "centres")
         if centres.isEmpty():
-            return links
+            return labels
         met = seen.join(centres, "key").where("component <> own")
         pairs = met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
         if failed is not None:
@@ -240,10 +238,22 @@ def confirm_stars(members: DataFrame, sets: DataFrame, links: DataFrame, percent
         both = F.size(F.array_intersect("x", "y"))
         tested = tested.select("a", "b", (100 * both >= percent * (F.size("x") + F.size("y") - both)).alias("ok"))
         tested = cut_lineage(tested.groupBy("a", "b").agg(F.max("ok").alias("ok")), "tested")
-        links = links.unionByName(tested.where("ok").select("a", "b"))
         lost = tested.where("not ok").select("a", "b")
         failed = lost if failed is None else failed.unionByName(lost)
+        labels = _relabelled(labels, tested.where("ok"))
         # A centre has now met every member of its bucket outside its component, so it leaves the bucket.
         still = seen.join(centres.select("key").distinct(), "key", "left_semi").select("key", "id")
         members = still.join(centres.select("key", F.col("centre").alias("id")), ["key", "id"], "left_anti")
         stars = LATER_STARS
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after components that new links join have become one."""
+    a, b = (labels.select(F.col("id").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
+    edges = links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
+    edges = cut_lineage(edges, "joins")
+    if edges.isEmpty():
+        return labels
+    nodes = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    moved = components(nodes, edges).select(F.col("id").alias("component"), F.col("component").alias("new"))
+    return cut_lineage(labels.join(moved, "component", "left").select("id", F.coalesce("new", "component").alias("component")), "labels")
