@@ -2,9 +2,9 @@
 
 Every document becomes the set of its word shingles (64-bit hashes). One permutation hashes each shingle once; its bin
 keeps the smallest value, and empty bins are filled by optimal densification. Bins are read in bands, and documents with
-equal bands share a bucket. Within a bucket only star-shaped candidate edges are made: one centre against the others, so
-a bucket of n documents gives n - 1 pairs a round. Each pair is confirmed on the full sets. A bucket whose members are
-still in several components gets another centre out of its smallest component, until every pair of members is either in
+equal bands share a bucket. Within a bucket only star-shaped candidate edges are made: one centre, later a few, against the others,
+so pairs grow with the bucket and not with its square. Each pair is confirmed on the full sets. A bucket whose members are
+still in several components gets other centres, until every pair of members is either in
 one component or has been compared; so no link that a bucket holds is lost. Documents with equal sets form one class
 beforehand and take part once.
 """
@@ -23,8 +23,9 @@ from offerloom.llm.graph import components
 from offerloom.session import cut_lineage
 
 MASK = (1 << 64) - 1
-#: Centres of a bucket in each round after the first.
-LATER_STARS = 64
+#: After the first round a bucket of n members has up to STAR_PAIRS / n centres out of its smallest components, at least
+#: SMALL_STARS, and LARGE_STARS out of its largest one.
+STAR_PAIRS, SMALL_STARS, LARGE_STARS = 256, 4, 2
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -212,20 +213,29 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
 def confirm_stars(members: DataFrame, sets: DataFrame, given: DataFrame, percent: int) -> DataFrame:
     """Components (id, component) of the members (key, id) of buckets under the ``given`` links (a, b) and confirmed ones.
 
-    Each round takes per open bucket the first member, in a hash order, of its smallest component (after the first round,
-    of its few smallest ones) and compares it with the members of other components, unless that pair has been compared
-    already. A bucket is open while its members lie in several components.
+    Each round takes centres in every open bucket and compares them with the members of other components, unless a pair
+    has been compared already. Centres are the first members, in a hash order, of the smallest components, which are then
+    done, and of the largest component, to which most others belong. A bucket is open while its members lie in several
+    components.
     """
-    failed, stars = None, 1
+    failed, first = None, True
     nodes = members.select("id").distinct().unionByName(given.select(F.col("a").alias("id"))).unionByName(given.select(F.col("b").alias("id")))
     labels = cut_lineage(components(nodes.distinct(), given), "labels")
     while True:
         seen = cut_lineage(members.join(labels, "id"), "seen")
-        parts = seen.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("first"))
-        order = Window.partitionBy("key").orderBy("n", "first")
-        open_ = parts.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select("key")
-        centres = parts.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= stars).join(open_, "key", "left_semi")
-        centres = cut_lineage(centres.select("key", F.col("first.id").alias("centre"), F.col("component").alias("own")), "centres")
+        least = F.min(F.struct(F.xxhash64("id").alias("h"), "id"))
+        parts = seen.groupBy("key", "component").agg(F.count("*").alias("n"), least.alias("first"))
+        sizes = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
+        open_ = cut_lineage(sizes.select("key", "all", F.col("top.component").alias("top")), "open")
+        turn = F.row_number().over(Window.partitionBy("key").orderBy("n", "first"))
+        small = parts.withColumn("turn", turn).where(F.col("turn") <= (1 if first else STAR_PAIRS)).join(open_, "key")
+        small = small.where((F.col("turn") <= (1 if first else SMALL_STARS)) | (F.col("turn") * F.col("all") <= STAR_PAIRS)).select("key", F.col("first.id").alias("centre"), F.col("component").alias("own"))
+        centres = small
+        if not first:
+            place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("id"), "id"))
+            large = seen.join(open_, "key").where("component = top").withColumn("turn", place).where(F.col("turn") <= LARGE_STARS)
+            centres = small.unionByName(large.select("key", F.col("id").alias("centre"), F.col("component").alias("own"))).distinct()
+        centres = cut_lineage(centres, "centres")
         if centres.isEmpty():
             return labels
         met = seen.join(centres, "key").where("component <> own")
@@ -244,7 +254,7 @@ def confirm_stars(members: DataFrame, sets: DataFrame, given: DataFrame, percent
         # A centre has now met every member of its bucket outside its component, so it leaves the bucket.
         still = seen.join(centres.select("key").distinct(), "key", "left_semi").select("key", "id")
         members = still.join(centres.select("key", F.col("centre").alias("id")), ["key", "id"], "left_anti")
-        stars = LATER_STARS
+        first = False
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
