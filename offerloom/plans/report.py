@@ -240,7 +240,7 @@ def q_pack_outliers(spark: SparkSession, sf: str) -> DataFrame:
     """Smallest packs: under 50 g or ml, and more than 20 of them in a kilogram; the first 500."""
     o = parsed_offers(spark, sf)
     packs = F.floor(1000 / F.col("pack.base_qty"))
-    small = F.col("pack.unit_type").isin("WEIGHT", "VOLUME") & (F.col("pack.base_qty") < OUTLIER_QTY * 20)
+    small = F.col("pack.unit_type").isin("WEIGHT", "VOLUME") & (F.col("pack.base_qty") < OUTLIER_QTY) & (packs > OUTLIER_PACKS)
     return (
         o.filter(small).withColumn("packs_per_kg", packs)
         .select("offer_id", F.col("pack.base_qty").alias("base_qty"), "packs_per_kg")
@@ -374,7 +374,7 @@ ORACLE = {
           CASE WHEN pack_type <> 'UNKNOWN' AND pack_type <> unit_type THEN 'UNIT_CONFLICT' END], lambda x: x IS NOT NULL) AS issues FROM packs)
       SELECT super_class, band, issue, count(*) AS n FROM (SELECT super_class, band, unnest(CASE WHEN len(issues) = 0 THEN [NULL] ELSE issues END) AS issue FROM i) GROUP BY 1, 2, 3""",
     "pack_outliers": _PACKED + """ SELECT offer_id, base_qty, CAST(floor(1000 / base_qty) AS BIGINT) AS packs_per_kg FROM packs
-      WHERE pack_type IN ('WEIGHT', 'VOLUME') AND base_qty < 1000 ORDER BY base_qty, offer_id LIMIT 500""",
+      WHERE pack_type IN ('WEIGHT', 'VOLUME') AND base_qty < 50 AND floor(1000 / base_qty) > 20 ORDER BY base_qty, offer_id LIMIT 500""",
     "distributions": f"""WITH {d.CTE_OFFERS}, k AS (SELECT 'fat' AS kind, CAST(CAST(fat_pct AS INT) AS VARCHAR) AS value FROM offers
         UNION ALL SELECT 'cut', cut FROM offers UNION ALL SELECT 'country', origin_country FROM offers)
       , n AS (SELECT kind, value, count(*) AS n FROM k WHERE value IS NOT NULL GROUP BY 1, 2)

@@ -19,8 +19,6 @@ COLUMN_WORDS = {
     "price": ["цена за единицу", "цена", "price", "стоимость"],
 }
 HEADER_ROWS = 5
-MAX_ROWS = 100_000
-MAX_COLUMNS = 200
 
 
 @dataclass(frozen=True)
@@ -110,8 +108,7 @@ def intake_checks(raw: DataFrame, files: DataFrame, loaded: DataFrame) -> DataFr
     reason = (
         F.when(F.col("seen"), "ALREADY_LOADED")
         .when(F.coalesce("n_rows", F.lit(0)) == 0, "NO_ROWS")
-        .when(F.col("n_rows") > MAX_ROWS, "TOO_MANY_ROWS")
-        .when((F.size(names) == 0) | (F.size(names) > MAX_COLUMNS), "COLUMN_COUNT")
+        .when(F.size(names) == 0, "COLUMN_COUNT")
         .when(F.exists(names, lambda n: F.coalesce(F.trim(n), F.lit("")) == ""), "UNNAMED_COLUMN")
         .when(F.size(F.array_distinct(names)) < F.size(names), "DUPLICATE_COLUMN")
     )

@@ -144,5 +144,6 @@ def test_fingerprint_of_large_carts(spark):
     rows = [(c, 100 + i, float(i % 5), i % 4 == 0) for c in (1, 2) for i in range(40)]
     df = spark.createDataFrame(rows, "cart_id bigint, anchor_offer_id bigint, qty double, locked boolean")
     plain = {r.cart_id: (r.cart_hash, r.n_lines) for r in fingerprint(df).collect()}
-    split = {r.cart_id: (r.cart_hash, r.n_lines) for r in fingerprint(df.orderBy(F.rand(3)), max_lines=10).collect()}
-    assert plain[1] == plain[2] and split[1] == split[2] and plain[1][0] != split[1][0] and split[1][1] == 40
+    mixed = {r.cart_id: (r.cart_hash, r.n_lines) for r in fingerprint(df.orderBy(F.rand(3))).collect()}
+    other = {r.cart_id: r.cart_hash for r in fingerprint(df.where("anchor_offer_id < 139")).collect()}
+    assert plain == mixed and plain[1] == plain[2] and plain[1][1] == 40 and other[1] != plain[1][0]
