@@ -106,17 +106,18 @@ def phrases(tables: list[np.ndarray], windows: np.ndarray, lengths: np.ndarray)
     alive = len(lengths) - np.searchsorted(lengths[::-1], np.arange(1, windows.shape[0] + 1), "left")
     counts = np.zeros((len(tables), len(lengths)), np.int32)
     for k, table in enumerate(tables):
-        width = table.shape[1]
-        flat, root = table.ravel(), np.maximum(table[0], 0)
-        state, count = np.zeros(len(lengths), np.int32), counts[k]
-        for t, n in enumerate(alive.tolist()):
+        width, dead = table.shape[1], len(table)  # from the added last state every symbol starts a new phrase
+        flat = np.concatenate((table, np.full((1, width), -1, np.int32))).ravel()
+        first = np.where(table[0] < 0, dead, table[0]).astype(np.int32)
+        state, count = first[windows[0]], counts[k]
+        for t, n in enumerate(alive.tolist()[1:], 1):
             if not n:
                 break
             symbol = windows[t, :n]
             to = flat[state[:n].astype(np.int64) * width + symbol]
             miss = to < 0
             count[:n] += miss
-            state[:n] = np.where(miss, root[symbol], to)
+            state[:n] = np.where(miss, first[symbol], to)
         count += 1  # the phrase that is open at the end
     out = np.empty_like(counts)
     out[:, order] = counts

@@ -172,14 +172,14 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null and empty pages, and pages without any block, have an empty text. A page without a partner (no URL, the only one
     of its host, a null page_id) keeps all its lines, as does a page whose every line aligns with its partner's: that is a
-    copy, not boilerplate. Rows that repeat a page_id are kept; as a partner, the first of them by its lines counts.
+    copy, not boilerplate. Rows that repeat a page_id are kept; as a partner, the last of them in the order of lines counts.
     """
     rows = parsed(pages)
     marked = rows.where("marked").select("page_id", "url", "lines")
     plain = rows.where("not marked")
     paired = plain.join(partners(pages), "page_id", "left")
     wanted = pages.join(paired.select(F.col("partner").alias("page_id")).distinct(), "page_id", "left_semi")
-    others = parsed(wanted).groupBy(F.col("page_id").alias("partner")).agg(F.min("lines").alias("other"))
+    others = parsed(wanted).groupBy(F.col("page_id").alias("partner")).agg(F.max("lines").alias("other"))
     both = paired.join(others, "partner", "left").select("page_id", "url", "lines", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
