@@ -2,11 +2,11 @@
 
 Every document becomes the set of its word shingles (64-bit hashes). One permutation hashes each shingle once; its bin
 keeps the smallest value, and empty bins are filled by optimal densification. Bins are read in bands, and documents with
-equal bands share a bucket. Within a bucket only star-shaped candidate edges are made: one centre, later a few, against the others,
-so pairs grow with the bucket and not with its square. Each pair is confirmed on the full sets. A bucket whose members are
-still in several components gets other centres, until every pair of members is either in
-one component or has been compared; so no link that a bucket holds is lost. Documents with equal sets form one class
-beforehand and take part once.
+equal bands share a bucket. Within a bucket only star-shaped candidate edges are made: one centre against the others, so
+pairs grow with the bucket and not with its square. Each is confirmed on the full sets. Members that link with their
+centre are in one component. Those that don't could still link with one another or with a member that does; as all of a
+star's members are known by their differences from one centre, such links are found from these differences alone, and no
+link between members is lost. Documents with equal sets form one class beforehand and take part once.
 """
 
 from __future__ import annotations
@@ -16,16 +16,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.llm.graph import components
 from offerloom.session import cut_lineage
 
 MASK = (1 << 64) - 1
-#: After the first round a bucket of n members has up to STAR_PAIRS / n centres out of its smallest components, at least
-#: SMALL_STARS, and LARGE_STARS out of its largest one.
-STAR_PAIRS, SMALL_STARS, LARGE_STARS = 256, 4, 2
+#: Outliers of a star that one task compares with the star's members.
+STAR_PART = 1024
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -213,48 +212,70 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
 def confirm_stars(members: DataFrame, sets: DataFrame, given: DataFrame, percent: int) -> DataFrame:
     """Components (id, component) of the members (key, id) of buckets under the ``given`` links (a, b) and confirmed ones.
 
-    Each round takes centres in every open bucket and compares them with the members of other components, unless a pair
-    has been compared already. Centres are the first members, in a hash order, of the smallest components, which are then
-    done, and of the largest component, to which most others belong. A bucket is open while its members lie in several
-    components.
+    The first member of a bucket in a hash order is its centre; the other members are compared with it on the full sets.
+    Two members that both link with the centre are in one component, so only members that don't (outliers) are left to
+    compare with the others of their star. These pairs are decided from what each lacks of the centre and what it adds.
     """
-    failed, first = None, True
+    first = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("first"))
+    stars = members.join(first.select("key", F.col("first.id").alias("centre")), "key").where("id <> centre").select("centre", "id").distinct()
+    stars = cut_lineage(stars, "stars")
+    tested = cut_lineage(_differences(stars, sets, percent), "tested")
+    linked = F.col("weight") <= F.col("slack")
     nodes = members.select("id").distinct().unionByName(given.select(F.col("a").alias("id"))).unionByName(given.select(F.col("b").alias("id")))
-    labels = cut_lineage(components(nodes.distinct(), given), "labels")
-    while True:
-        seen = cut_lineage(members.join(labels, "id"), "seen")
-        least = F.min(F.struct(F.xxhash64("id").alias("h"), "id"))
-        parts = seen.groupBy("key", "component").agg(F.count("*").alias("n"), least.alias("first"))
-        sizes = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
-        open_ = cut_lineage(sizes.select("key", "all", F.col("top.component").alias("top")), "open")
-        turn = F.row_number().over(Window.partitionBy("key").orderBy("n", "first"))
-        small = parts.withColumn("turn", turn).where(F.col("turn") <= (1 if first else STAR_PAIRS)).join(open_, "key")
-        small = small.where((F.col("turn") <= (1 if first else SMALL_STARS)) | (F.col("turn") * F.col("all") <= STAR_PAIRS)).select("key", F.col("first.id").alias("centre"), F.col("component").alias("own"))
-        centres = small
-        if not first:
-            place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("id"), "id"))
-            large = seen.join(open_, "key").where("component = top").withColumn("turn", place).where(F.col("turn") <= LARGE_STARS)
-            centres = small.unionByName(large.select("key", F.col("id").alias("centre"), F.col("component").alias("own"))).distinct()
-        centres = cut_lineage(centres, "centres")
-        if centres.isEmpty():
-            return labels
-        met = seen.join(centres, "key").where("component <> own")
-        pairs = met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        if failed is not None:
-            pairs = pairs.join(failed, ["a", "b"], "left_anti")
-        left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-        right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-        tested = pairs.join(left, "a").join(right, "b")
-        both = F.size(F.array_intersect("x", "y"))
-        tested = tested.select("a", "b", (100 * both >= percent * (F.size("x") + F.size("y") - both)).alias("ok"))
-        tested = cut_lineage(tested.groupBy("a", "b").agg(F.max("ok").alias("ok")), "tested")
-        lost = tested.where("not ok").select("a", "b")
-        failed = lost if failed is None else failed.unionByName(lost)
-        labels = _relabelled(labels, tested.where("ok"))
-        # A centre has now met every member of its bucket outside its component, so it leaves the bucket.
-        still = seen.join(centres.select("key").distinct(), "key", "left_semi").select("key", "id")
-        members = still.join(centres.select("key", F.col("centre").alias("id")), ["key", "id"], "left_anti")
-        first = False
+    links = tested.where(linked).select(F.col("centre").alias("a"), F.col("id").alias("b")).unionByName(given.select("a", "b"))
+    labels = cut_lineage(components(nodes.distinct(), links), "labels")
+    return _relabelled(labels, _outlier_links(tested, labels, percent))
+
+
+def _differences(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The stars (centre, id) with the elements that id lacks of its centre and those that it adds.
+
+    With ``lacks`` and ``adds`` elements, weight is 100 * lacks + percent * adds and slack is (100 - percent) times the
+    centre's size: id and centre are linked if weight <= slack. The elements are kept where a centre has several members.
+    ``star`` and ``member`` tell apart the sets of an id that has several.
+    """
+    several = stars.groupBy("centre").agg((F.count("*") > 1).alias("several"))
+    left = sets.select(F.col("id").alias("centre"), F.col("shingles").alias("x"))
+    both = stars.join(several, "centre").join(left, "centre").join(sets, "id")
+    out = both.select("centre", F.xxhash64("x").alias("star"), "id", F.xxhash64("shingles").alias("member"), "several", F.size("x").alias("of"), F.array_except("x", "shingles").alias("lack"), F.array_except("shingles", "x").alias("add"))
+    weight = 100 * F.size("lack").cast("bigint") + percent * F.size("add").cast("bigint")
+    kept = [F.when(F.col("several"), F.col(c)).alias(c) for c in ("lack", "add")]
+    return out.select("centre", "star", "id", "member", weight.alias("weight"), ((100 - percent) * F.col("of").cast("bigint")).alias("slack"), *kept)
+
+
+def _outlier_links(tested: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one star that lie in different components, of which one is an outlier.
+
+    Two members share their centre's elements but for those that either lacks, those that both lack counting once, and
+    the added elements that both add. So they are linked if (100 + percent) times the number of elements that both lack
+    or both add reaches the sum of their weights less the slack. Elements that one member alone adds can't be shared;
+    leaving them out bounds most pairs away by counts, and the others compare short arrays inside the join's condition.
+    """
+    own = labels.select("id", F.col("component").alias("own"))
+    core = labels.select(F.col("id").alias("centre"), F.col("component").alias("core"))
+    placed = tested.where("lack is not null").join(own, "id").join(core, "centre").withColumn("outlier", F.expr("own <> core"))
+    spread = placed.groupBy("centre", "star").agg(F.count_if("outlier").alias("outliers"), F.min(F.expr("size(add) - size(lack)")).alias("least"), F.count("*").alias("n"))
+    spread = spread.where("outliers > 0 and n > 1").drop("n")
+    placed = cut_lineage(placed.join(spread, ["centre", "star"]), "placed")
+    added = placed.select("centre", "star", "id", "member", F.explode("add").alias("e"))
+    shared = added.groupBy("centre", "star", "e").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = added.join(shared, ["centre", "star", "e"]).groupBy("centre", "star", "id", "member").agg(F.collect_list("e").alias("add"))
+    rows = placed.drop("add").join(shared, ["centre", "star", "id", "member"], "left").withColumn("add", F.coalesce("add", F.array().cast("array<bigint>")))
+    rows = rows.withColumn("n_lack", F.size("lack")).withColumn("n_add", F.size("add"))
+    rows = rows.withColumn("parts", F.ceil(F.col("outliers") / STAR_PART).cast("int")).drop("outliers", "core")
+    # What both lack is at most what the partner lacks, so the shared additions must make up for the rest.
+    hopeful = F.col("outlier") & ((100 + percent) * F.col("n_add") >= F.col("weight") - F.col("slack") + percent * F.col("least"))
+    rows = cut_lineage(rows, "deltas")
+    one = rows.where(hopeful).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    two = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    one, two = one.alias("x"), two.alias("y")
+    asked = F.expr("x.weight + y.weight - x.slack")
+    most = (100 + percent) * F.expr("least(x.n_lack, y.n_lack) + least(x.n_add, y.n_add)")
+    adds = (100 + percent) * (F.expr("least(x.n_lack, y.n_lack)") + F.expr("size(array_intersect(x.add, y.add))"))
+    exact = (100 + percent) * F.expr("size(array_intersect(x.lack, y.lack)) + size(array_intersect(x.add, y.add))")
+    same = F.expr("x.centre = y.centre and x.star = y.star and x.part = y.part and x.own <> y.own")
+    pairs = one.join(two, same & (most >= asked) & (adds >= asked) & (exact >= asked))
+    return pairs.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
