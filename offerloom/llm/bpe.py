@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Folded pieces that a worker keeps before it starts again with none.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 100_000
 #: Pieces up to so many bytes are folded by a plain scan, longer ones with a heap.
 SHORT = 40
 #: Slots of the rank map (a power of two) and the factors of its two hash functions.
@@ -101,12 +101,9 @@ class Merger:
         return [p for p in parts if p >= 0]
 
 
-_MERGERS: dict[int, Merger] = {}
-
-
-def encode_batches(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], key: int) -> Iterator[pa.RecordBatch]:
+def encode_batches(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
     """doc_id and pieces in; doc_id, ids (packed little-endian int32) and the decoded bytes' digest columns out."""
-    merger = _MERGERS.setdefault(key, Merger(ranks))
+    merger = Merger(ranks)
     tokens = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
@@ -136,10 +133,9 @@ def token_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
     """
     pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    key = hash((len(ranks), pattern))
 
     def run(batches):
-        yield from encode_batches(batches, shared.value, key)
+        yield from encode_batches(batches, shared.value)
 
     return docs.select(F.col("doc_id").cast("bigint"), pieces.alias("pieces")).mapInArrow(
         run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"

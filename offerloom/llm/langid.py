@@ -22,6 +22,8 @@ WINDOW = 256
 SAMPLE_DOCS, SAMPLE_CHARS = 24, 1_000
 #: Characters that the automata tell apart; rarer ones share the last symbol, which matches nothing.
 ALPHABET = 63
+#: Rows that a worker takes at once.
+BATCH_ROWS = 2_000
 NO_LANGUAGE = "und"
 
 
@@ -154,6 +156,13 @@ def predict_batch(texts: list[str], model: Model) -> tuple[list[str], np.ndarray
     return names, score
 
 
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of up to ``BATCH_ROWS``, which bounds what a worker holds at once."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(begin, BATCH_ROWS)
+
+
 def remainder() -> Column:
     """crc32 of the doc_id as text modulo 3; null for a null doc_id."""
     return F.crc32(F.col("doc_id").cast("string")) % 3
@@ -187,7 +196,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             names, score = predict_batch(batch.column("text").fill_null("").to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score)],
@@ -202,7 +211,7 @@ def with_language(docs: DataFrame, shared) -> DataFrame:
     """The rows with ``lang`` set to the predicted language; all other columns stay. ``shared`` is a broadcast model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             names, _ = predict_batch(batch.column("text").fill_null("").to_pylist(), shared.value)
             at = batch.schema.get_field_index("lang")
             yield batch.set_column(at, batch.schema.field(at), pa.array(names, batch.schema.field(at).type))

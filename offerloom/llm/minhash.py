@@ -72,8 +72,8 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[list[np.ndarray]]:
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     begin = 0
-    while begin < len(texts):  # about 4 MB at a time
-        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + 4_000_000, "right")) - 1)
+    while begin < len(texts):  # about 1 MB at a time
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + 1_000_000, "right")) - 1)
         part = data[offsets[begin] : offsets[end]]
         cuts = offsets[begin : end + 1] - offsets[begin]
         # A text must not flow into the next one: words are hashed on a copy with a space between texts.
