@@ -1,13 +1,16 @@
-"""Main text of web pages: blocks of markup, and differencing against the page with the nearest URL.
+"""Main text of web pages: blocks of markup, and differencing against pages with the nearest URL.
 
 A page becomes its blocks of text in page order. Blocks inside elements that hold no article (navigation, forms, notices,
-reader comments and the like) go. Where a page marks its article (``article`` or ``main``), those blocks are its text,
-shared with other pages or not. Any other page is paired with one of the same host whose URL path shares the deepest
+reader comments and the like) go. Every page is paired with pages of the same host whose URL path shares the deepest
 prefix; their lines are aligned by longest common subsequence, and lines of the alignment are deleted as boilerplate.
+Markup is evidence in this: where a page marks its article (``article`` or ``main``) only lines in it can be its text, and
+a line in it goes only if it aligns with two pages of the group (or with the only other one), and not if the aligned lines
+are half of the article or more, as then the articles are copies of each other.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from bisect import bisect_left
@@ -36,6 +39,8 @@ BLOCKS = set(
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = {"article", "main"}
 LEVELS = 8
+#: Bytes of a line's digest.
+DIGEST = 8
 
 
 def blocks(page: str) -> list[tuple[str, bool]]:
@@ -122,71 +127,104 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def own_lines(lines: list[str], other: list[str] | None) -> list[str]:
-    """Lines without those that align with the other page; all of them if that would leave none."""
-    if not other:
-        return lines
-    shared = common_lines(lines, other)
-    return [line for i, line in enumerate(lines) if i not in shared] or lines
+def own_lines(lines: list[str], inside: list[bool], known: list, others: list[list]) -> list[str]:
+    """The lines that are the page's text. ``known`` and ``others`` are digests of its lines and of its partners' lines.
+
+    Lines of a page without a marked article go if they align with the nearest page; all stay if that would leave none. Of
+    a marked article those go that align with every partner, unless they hold half of its characters or more.
+    """
+    shared = common_lines(known, others[0]) if others else set()
+    if not any(inside):
+        return [line for i, line in enumerate(lines) if i not in shared] or lines
+    own = {i for i, marked in enumerate(inside) if marked}
+    shared &= own
+    for other in others[1:] if shared else []:
+        shared &= common_lines(known, other)
+    if 2 * sum(len(lines[i]) for i in shared) >= sum(len(lines[i]) for i in own):
+        shared = set()
+    return [lines[i] for i in sorted(own - shared)]
+
+
+def line_digests(lines: list[str]) -> bytes:
+    return b"".join(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=DIGEST).digest() for line in lines)
+
+
+def cut_digests(data: bytes) -> list[bytes]:
+    return [data[i : i + DIGEST] for i in range(0, len(data), DIGEST)]
+
+
+def sketches(pages: DataFrame) -> DataFrame:
+    """Per row with a page_id: page_id and the digests of its lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [line_digests([text for text, _ in blocks(page or "")]) for page in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(found, pa.binary())], ["page_id", "known"])
+
+    rows = pages.select(F.col("page_id").cast("bigint"), F.col("html").cast("string")).where("page_id is not null")
+    return rows.mapInArrow(run, "page_id bigint, known binary")
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """Per row: page_id, url, whether the page marks an article, and its lines (of the article, or all)."""
+    """Per row: page_id, url, its lines (none has a line break) as one text, and whether each is inside a marked article."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marked, lines = [], []
-            for page in batch.column("html").to_pylist():
-                found = blocks(page or "")
-                inside = [text for text, own in found if own]
-                marked.append(bool(inside))
-                lines.append(inside or [text for text, _ in found])
+            found = [blocks(page or "") for page in batch.column("html").to_pylist()]
+            lines = ["\n".join(text for text, _ in page) for page in found]
+            inside = [bytes(own for _, own in page) for page in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(marked, pa.bool_()), pa.array(lines, pa.list_(pa.string()))],
-                ["page_id", "url", "marked", "lines"],
+                [batch.column("page_id"), batch.column("url"), pa.array(lines, pa.string()), pa.array(inside, pa.binary())],
+                ["page_id", "url", "lines", "inside"],
             )
 
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return rows.mapInArrow(run, "page_id bigint, url string, marked boolean, lines array<string>")
+    return rows.mapInArrow(run, "page_id bigint, url string, lines string, inside binary")
 
 
 def partners(pages: DataFrame) -> DataFrame:
-    """page_id, partner: a page of the same host that shares the deepest path prefix, for pages that have one.
+    """page_id, partners: one or two pages of the same host that share the deepest path prefix, for pages that have one.
 
-    Every prefix of a path is a group. A group's first page by URL is the partner of all others, and its last page the
-    partner of the first, so groups of any size are aggregated, never paired out.
+    Every prefix of a path is a group. A page's partners are the first two others among its group's first page by URL, its
+    last and one picked by hash, so groups of any size are aggregated, never paired out.
     """
     split = F.regexp_extract_all(F.regexp_replace(F.lower("url"), "[?#].*$", ""), F.lit("[^/]+"), F.lit(0))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", split.alias("steps")).where("page_id is not null and size(steps) > 1")
     # The first step is the scheme, the second the host.
     levels = F.sequence(F.lit(2), F.least(F.size("steps"), F.lit(LEVELS)))
     rows = rows.select("page_id", F.struct("url", "page_id").alias("me"), F.posexplode(F.transform(levels, lambda n: F.array_join(F.slice("steps", F.lit(2), n - 1), "/"))).alias("level", "prefix"))
-    groups = rows.groupBy("prefix").agg(F.min("me").alias("first"), F.max("me").alias("last")).where("first.page_id <> last.page_id")
-    found = rows.join(groups, "prefix")
-    other = F.when(F.col("me") == F.col("first"), F.col("last.page_id")).otherwise(F.col("first.page_id"))
-    return found.groupBy("page_id").agg(F.max_by(other, "level").alias("partner"))
+    some = F.min(F.struct(F.xxhash64("page_id").alias("h"), "page_id"))
+    groups = rows.groupBy("prefix").agg(F.min("me").alias("first"), F.max("me").alias("last"), some.alias("some")).where("first.page_id <> last.page_id")
+    groups = groups.select("prefix", F.array_distinct(F.array("first.page_id", "last.page_id", "some.page_id")).alias("members"))
+    found = rows.select("page_id", "level", "prefix").join(groups, "prefix")
+    other = F.slice(F.array_except("members", F.array("page_id")), 1, 2)
+    return found.groupBy("page_id").agg(F.max_by(other, "level").alias("partners"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per row: page_id, url, text, n_chars.
 
     Null and empty pages, and pages without any block, have an empty text. A page without a partner (no URL, the only one
-    of its host, a null page_id) keeps all its lines, as does a page whose every line aligns with its partner's: that is a
-    copy, not boilerplate. Rows that repeat a page_id are kept; as a partner, the last of them in the order of lines counts.
+    of its host, a null page_id) keeps all its lines, or those of its marked article. A page whose every line aligns with
+    its partner's keeps all: that is a copy, not boilerplate. Rows that repeat a page_id are kept; as a partner, the last
+    of them in the order of line digests counts.
+
+    Pages meet as digests of their lines; the lines themselves are dealt once, by page_id.
     """
-    rows = parsed(pages)
-    marked = rows.where("marked").select("page_id", "url", "lines")
-    plain = rows.where("not marked")
-    paired = plain.join(partners(pages), "page_id", "left")
-    wanted = pages.join(paired.select(F.col("partner").alias("page_id")).distinct(), "page_id", "left_semi")
-    others = parsed(wanted).groupBy(F.col("page_id").alias("partner")).agg(F.max("lines").alias("other"))
-    both = paired.join(others, "partner", "left").select("page_id", "url", "lines", "other")
+    pairs = partners(pages).select("page_id", F.posexplode("partners").alias("turn", "partner"))
+    wanted = pairs.select(F.col("partner").alias("page_id")).distinct()
+    others = sketches(pages).join(wanted, "page_id", "left_semi").groupBy(F.col("page_id").alias("partner")).agg(F.max("known").alias("other"))
+    met = pairs.join(others, "partner").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("turn", "other"))).alias("met"))
+    both = parsed(pages).join(met.select("page_id", F.transform("met", lambda m: m["other"]).alias("others")), "page_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = [own_lines(a, b) for a, b in zip(batch.column("lines").to_pylist(), batch.column("other").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(lines, pa.list_(pa.string()))], ["page_id", "url", "lines"])
-
-    diffed = both.mapInArrow(run, "page_id bigint, url string, lines array<string>")
-    text = F.array_join("lines", "\n")
-    return marked.unionByName(diffed).select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+            texts = []
+            for text, inside, others in zip(*(batch.column(c).to_pylist() for c in ("lines", "inside", "others"))):
+                lines = text.split("\n") if text else []
+                own = own_lines(lines, [b > 0 for b in inside], cut_digests(line_digests(lines)), [cut_digests(o) for o in others or []])
+                texts.append("\n".join(own))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    diffed = both.select("page_id", "url", "lines", "inside", "others").mapInArrow(run, "page_id bigint, url string, text string")
+    return diffed.withColumn("n_chars", F.length("text").cast("bigint"))

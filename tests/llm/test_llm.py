@@ -269,6 +269,20 @@ def test_pages(spark):
     assert pages.extract(df.where("false")).count() == 0
 
 
+def test_marked_articles_are_differenced(spark):
+    """A template inside main goes where other pages of the host share it; copies of an article stay whole."""
+    page = "<main><p>We use a notice here</p><p>%s</p><p>Read more on our site</p></main>"
+    rows = [(i, f"http://t.com/n/{i}", page % (f"long text number {i} " * 9)) for i in range(4)]
+    rows += [(10 + i, f"http://c.com/n/{i}", "<article><p>same words of one article</p><p>same end</p></article>") for i in range(2)]
+    # One partner shares the short line by chance, the other does not.
+    rows += [(20 + i, f"http://s.com/n/{i}", f"<article><p>{'Yes.' if i < 2 else 'No.'}</p><p>{f'own words {i} ' * 9}</p></article>") for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract(df).collect()}
+    assert all(got[i] == (f"long text number {i} " * 9).strip() for i in range(4))
+    assert got[10] == got[11] == "same words of one article\nsame end"
+    assert got[20].startswith("Yes.\n") and got[21].startswith("Yes.\n")
+
+
 def test_common_lines_against_recursion():
     rng = random.Random(1)
 
