@@ -1,7 +1,7 @@
 """Main text of web pages: blocks of markup, and differencing against pages with the nearest URL.
 
 A page becomes its blocks of text in page order. Blocks inside elements that hold no article (navigation, forms, notices,
-reader comments and the like) go. Every page is paired with pages of the same host whose URL path shares the deepest
+reader comments and the like) go, with all they hold. Every page is paired with pages of the same host whose URL path shares the deepest
 prefix; their lines are aligned by longest common subsequence, and lines of the alignment are deleted as boilerplate.
 Markup is evidence in this: where a page marks its article (``article`` or ``main``) only lines in it can be its text, and
 a line in it goes only if it aligns with two pages of the group (or with the only other one), and not if the aligned lines
@@ -26,11 +26,14 @@ NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "object", "canvas", "title"}
 #: Elements that hold no article.
 ASIDE = {"head", "nav", "footer", "aside", "form", "button", "dialog", "menu"}
-#: Words in class, id or role that tell the same.
+#: Names in class, id or role that tell the same, as whole names; parts of hyphenated names tell nothing.
 ASIDE_WORDS = set(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu menubar breadcrumb breadcrumbs"
     " sidebar complementary footer contentinfo cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup"
-    " login search share sharing social related recommended comment comments disqus replies pagination pager toolbar widget skip".split()
+    " login search share sharing social related recommended comment comments disqus replies pagination pager toolbar widget skip ad-banner ad-container"
+    " ad-slot nav-bar nav-menu main-navigation site-navigation navigation-menu site-header site-footer page-footer cookie-banner cookie-notice"
+    " cookie-consent cookie-bar newsletter-signup related-posts related-articles share-buttons social-share social-links comment-list"
+    " comments-area comments-list comments-section comment-respond".split()
 )
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
@@ -38,16 +41,48 @@ BLOCKS = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = {"article", "main"}
+#: Elements that no name in class, id or role skips.
+WHOLE = ARTICLE | {"html", "body"}
 LEVELS = 8
 #: Bytes of a line's digest.
 DIGEST = 8
 
 
+def _raw_end(page: str, name: str, at: int) -> int:
+    found = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+    return found.end() if found else len(page)
+
+
+def _end(page: str, name: str, at: int) -> int:
+    """Place behind the element ``name`` whose start tag ends at ``at``, with all that it holds.
+
+    A paragraph ends before the next block. An element that is never closed goes up to the first marked article, or to the
+    end of the page; a head that is not closed ends at once, as what it may hold has no text.
+    """
+    nested, begin, article = 1, at, None
+    while (m := TAG.search(page, at)) is not None:
+        at = m.end()
+        if m[2] is None:
+            continue
+        inner, ends = m[2].lower(), bool(m[1])
+        if name == "p" and inner in BLOCKS:
+            return at if ends and inner == "p" else m.start()
+        if inner in ARTICLE and not ends and article is None:
+            article = m.start()
+        if inner == name and not m[3].endswith("/"):
+            nested += -1 if ends else 1
+            if not nested:
+                return at
+        elif inner in RAW and not ends:
+            at = _raw_end(page, inner, at)
+    return begin if name == "head" else len(page) if article is None else article
+
+
 def blocks(page: str) -> list[tuple[str, bool]]:
     """Text blocks in page order, each with whether the page marks it as its article."""
     out: list[tuple[str, bool]] = []
     parts: list[str] = []
-    depth, skip, nested, at = 0, "", 0, 0
+    depth, at = 0, 0
 
     def close() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -57,21 +92,13 @@ def blocks(page: str) -> list[tuple[str, bool]]:
 
     while True:
         m = TAG.search(page, at)
-        if not skip:
-            parts.append(page[at : m.start() if m else len(page)])
+        parts.append(page[at : m.start() if m else len(page)])
         if m is None:
             break
         at = m.end()
         if m[2] is None:
             continue
         name, ends = m[2].lower(), bool(m[1])
-        if skip and name not in ARTICLE:
-            if name == skip and not m[3].endswith("/"):
-                nested += -1 if ends else 1
-                skip = skip if nested else ""
-            continue
-        if skip and ends:
-            continue
         if name in BLOCKS:
             close()
         elif name == "br":
@@ -80,18 +107,17 @@ def blocks(page: str) -> list[tuple[str, bool]]:
             depth -= name in ARTICLE and depth > 0
             continue
         if name in RAW:
-            found = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = found.end() if found else len(page)
+            at = _raw_end(page, name, at)
             continue
         if name in VOID:
             continue
-        words = {w for a in NAMES.findall(m[3]) for w in re.split(r"[^a-z0-9]+", "".join(a).lower())} if m[3] else set()
-        if name in ASIDE or words & ASIDE_WORDS or ("header" in words | {name} and not depth):
+        words = {w for a in NAMES.findall(m[3]) for w in "".join(a).lower().split()} if m[3] else set()
+        aside = name in ASIDE or words & ASIDE_WORDS or ("header" in words | {name} and not depth)
+        if aside and name not in WHOLE:
             if name in BLOCKS or words & ASIDE_WORDS:
                 close()
-            skip, nested = name, 1
+            at = _end(page, name, at)
         else:
-            skip = ""  # an article ends whatever was left open before it
             depth += name in ARTICLE
     close()
     return out

@@ -269,6 +269,17 @@ def test_pages(spark):
     assert pages.extract(df.where("false")).count() == 0
 
 
+def test_block_rules():
+    text = lambda page: [t for t, own in pages.blocks(page)]
+    assert text("<body class='has-sidebar'><p>a</p></body>") == ["a"]
+    assert text("<main class='no-sidebar'><p>a</p></main>") == text("<article class='post has-comments'><p>a</p></article>") == ["a"]
+    assert text("<main class='comments'>a</main><html class=search><body id=nav>b") == ["a", "b"]
+    for page in ("<div class='comments'><div>x</div><article>no</article></div>", "<aside><article>no</article>x</aside>", "<nav><main>no</main></nav>"):
+        assert pages.blocks(f"<article><p>a</p></article>{page}<p>b</p>") == [("a", True), ("b", False)]
+    assert text("<div class='x comments-area'>no</div><nav><script>'</nav>'</script>no</nav><p class=ad>no<p>a") == ["a"]
+    assert text("<head><title>no</title><body><p>a") == ["a"] and text("<div class=ad>no<article>a</article>") == ["a"]
+
+
 def test_marked_articles_are_differenced(spark):
     """A template inside main goes where other pages of the host share it; copies of an article stay whole."""
     page = "<main><p>We use a notice here</p><p>%s</p><p>Read more on our site</p></main>"
