@@ -1,10 +1,13 @@
 """Document fingerprints by a homomorphic multiset hash, in DataFrame functions alone.
 
-A text is cut into pieces: paragraphs (lines), and these at sentence ends. Every piece hashes to a sparse wide vector: one
-of ``LANES`` lanes, chosen by the hash, holds a value of up to 56 bits. The fingerprint is the sum of the vectors modulo
+A text is cut into pieces: paragraphs (lines), and these at sentence ends. Every piece hashes to a wide vector with a value
+of up to 56 bits in each of ``LANES`` lanes, by one seeded hash a lane. The fingerprint is the sum of the vectors modulo
 2^56 in each lane. Sums don't depend on order, so texts with the same pieces are equal whatever their order, and a piece
-is inserted or deleted by adding or subtracting its vector (``add``, ``subtract``). As a piece touches one lane only, the
-share of equal lanes tells how alike two texts are.
+is inserted or deleted by adding or subtracting its vector (``add``, ``subtract``), also on stored sums.
+
+The low ``SIGN_BITS`` bits of a lane's value are +1 or -1 by the hash, those above are random. So the low bits of a sum hold
+a random projection of the piece counts, and two sums tell the cosine of the counts of their texts (``likeness``), with a
+standard error of 1 / sqrt(``LANES``) or less for texts of any length.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 LANES = 128
 #: Lane sums are taken modulo this power of two.
 MODULUS_BITS = 56
+#: Low bits of a lane that hold a signed sum; texts of up to 2^23 pieces fit.
+SIGN_BITS = 24
 PIECE_END = r"\n+|(?<=[.!?])\s+"
 #: Ranges of doc_id that an approximate quantile cuts, rows that a range is divided for, and the quantile's accuracy.
 QUANTILES, ROWS_PER_PART = 64, 2_000
@@ -32,47 +37,43 @@ def pieces(text: Column) -> Column:
 
 
 def vector(text: Column) -> Column:
-    """Sparse vector of a text: map entries (lane, sum) in order of lane, for lanes that hold any piece."""
-    hashed = F.transform(pieces(text), lambda p: F.struct((F.xxhash64(p, F.lit(1)).bitwiseAND(F.lit(LANES - 1))).cast("int").alias("lane"), _low(F.xxhash64(p, F.lit(2))).alias("value")))
-    return _summed(hashed)
-
-
-def _summed(entries: Column) -> Column:
-    """Entries (lane, value) with the values of one lane added modulo the power, in order of lane."""
-    kind = "array<struct<lane:int,value:bigint>>"
-    start = F.struct(F.array().cast(kind).alias("done"), F.lit(-1).alias("lane"), F.lit(0).cast("bigint").alias("value"))
-    shut = lambda acc: F.concat(acc["done"], F.array(F.struct(acc["lane"].alias("lane"), acc["value"].alias("value"))))
-
-    def step(acc: Column, e: Column) -> Column:
-        same = F.struct(acc["done"].alias("done"), acc["lane"].alias("lane"), _low(acc["value"] + e["value"]).alias("value"))
-        other = F.struct(shut(acc).alias("done"), e["lane"].alias("lane"), e["value"].alias("value"))
-        return F.when(acc["lane"] == e["lane"], same).otherwise(other)
-
-    return F.aggregate(F.array_sort(entries), start, step, lambda acc: F.filter(shut(acc), lambda e: e["lane"] >= 0))
+    """Vector of a text: the sums of all lanes, zeros for a text without pieces."""
+    # Random bits above the signed part, and its second bit; less one for each piece, that bit is +1 or -1.
+    used = F.lit((1 << MODULUS_BITS) - (1 << SIGN_BITS) + 2)
+    lanes = F.array(*(F.lit(lane) for lane in range(LANES)))
+    # The lane comes first and so seeds the hash of the piece: pieces that collide in one lane don't in the others.
+    total = lambda ps, lane: F.aggregate(ps, F.lit(0).cast("bigint"), lambda acc, p: _low(acc + F.xxhash64(lane, p).bitwiseAND(used)))
+    return let(pieces(text), lambda ps: F.transform(lanes, lambda lane: _low(total(ps, lane) - F.size(ps))))
 
 
 def add(left: Column, right: Column) -> Column:
     """Vector of the pieces of both: insertion."""
-    return F.filter(_summed(F.concat(left, right)), lambda e: e["value"] != 0)
+    return F.zip_with(left, right, lambda a, b: _low(a + b))
 
 
 def subtract(left: Column, right: Column) -> Column:
     """Vector of the left pieces without the right ones: deletion."""
-    negated = F.transform(right, lambda e: F.struct(e["lane"].alias("lane"), _low(-e["value"]).alias("value")))
-    return add(left, negated)
+    return F.zip_with(left, right, lambda a, b: _low(a - b))
 
 
 def digest(vec: Column) -> Column:
     """sha-256 of a vector as lowercase hex, one string for equal multisets of pieces."""
-    return F.sha2(F.array_join(F.transform(vec, lambda e: F.concat_ws(":", e["lane"].cast("string"), F.hex(e["value"]))), ","), 256)
+    return F.sha2(F.array_join(F.transform(vec, lambda v: F.hex(v)), ","), 256)
 
 
 def likeness(left: Column, right: Column) -> Column:
-    """Equal lanes among those that hold a piece of either text, 0 to 1; two empty vectors are alike (1)."""
-    packed = [F.transform(v, lambda e: F.shiftleft(e["lane"].cast("bigint"), MODULUS_BITS) + e["value"]) for v in (left, right)]
-    both = F.size(F.array_intersect(*packed))
-    lanes = F.size(F.array_union(F.transform(left, lambda e: e["lane"]), F.transform(right, lambda e: e["lane"])))
-    return F.when(lanes == 0, F.lit(1.0)).otherwise(both / lanes)
+    """Estimated cosine of the piece counts, 0 to 1; two texts without pieces are alike (1), one without is unlike (0)."""
+    signed = lambda v: F.transform(v, lambda x: F.shiftright(F.shiftleft(x, 64 - SIGN_BITS), 64 - SIGN_BITS).cast("double"))
+
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+    def cosine(p: Column) -> Column:
+        both = dot(p["l"], p["l"]) * dot(p["r"], p["r"])
+        shared = F.when(both > 0, dot(p["l"], p["r"]) / F.sqrt(both)).otherwise(0.0)
+        return F.when(p["same"], 1.0).otherwise(F.least(F.greatest(shared, F.lit(0.0)), F.lit(1.0)))
+
+    return let(F.struct(signed(left).alias("l"), signed(right).alias("r"), (left == right).alias("same")), cosine)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -117,9 +118,9 @@ def edited(text: Column, other: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, lanes, edited_lanes.
 
-    Null and empty texts have the fingerprint of no pieces; they are alike (1) to each other and unlike (0) all others.
+    ``lanes`` and ``edited_lanes`` are the sums that the fingerprints digest; pieces are inserted and deleted there. Null and empty texts have the fingerprint of no pieces; they are alike (1) to each other and unlike (0) all others.
     """
     rows = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     vectors = F.struct(vector(F.col("text")).alias("own"), vector(F.col("edited")).alias("edited"), vector(F.col("next_text")).alias("next"))
@@ -130,7 +131,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             digest(v["edited"]).alias("edited_fingerprint"),
             likeness(v["own"], v["edited"]).alias("near_edited"),
             likeness(v["own"], v["next"]).alias("near_next"),
+            v["own"].alias("lanes"),
+            v["edited"].alias("edited_lanes"),
         ),
     )
     out = rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), known.alias("k"))
-    return out.select("doc_id", "n_chars", "edited_sha256", "k.fingerprint", "k.edited_fingerprint", "k.near_edited", "k.near_next")
+    return out.select("doc_id", "n_chars", "edited_sha256", "k.fingerprint", "k.edited_fingerprint", "k.near_edited", "k.near_next", "k.lanes", "k.edited_lanes")

@@ -239,6 +239,25 @@ def test_fingerprint_is_homomorphic(spark):
     assert got.p0 == got.p1 == got.p2 and got.p3 == got.p4 and 0 < got.near < 1
 
 
+def test_likeness_does_not_depend_on_length(spark):
+    lines = [f"line {i} of a text" for i in range(1500)]
+    near = ["\n".join(lines), "\n".join(lines[:1000] + [f"other {i}" for i in range(500)])]
+    far = "\n".join(f"far {i}" for i in range(1500))
+    repeats = ["\n".join(["again"] * n + lines[:20]) for n in (40, 41)]
+    df = spark.createDataFrame([(*near, far, *repeats, "")], "a string, b string, c string, d string, e string, f string")
+    v = {c: fingerprint.vector(F.col(c)) for c in df.columns}
+    got = df.select(*(fingerprint.likeness(v[x], v[y]).alias(x + y) for x, y in ("aa", "ab", "ac", "de", "af", "ff"))).first()
+    assert got.aa == got.ff == 1 and got.af == 0 and abs(got.ab - 2 / 3) < 0.2 and got.ac < 0.3 and 0.9 < got.de < 1
+
+
+def test_stored_fingerprint_takes_pieces(spark):
+    rows = [(1, "a one\nb two\nc three"), (2, "a one\nc three")]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    stored = spark.createDataFrame([(got[1].lanes, "b two")], "lanes array<bigint>, piece string")
+    less = stored.select(fingerprint.digest(fingerprint.subtract(F.col("lanes"), fingerprint.vector(F.col("piece")))).alias("d")).first()
+    assert less.d == got[2].fingerprint and len(got[1].lanes) == fingerprint.LANES and all(got[1].lanes)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(20, 8))
