@@ -27,11 +27,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document (the smallest doc_id) of every near-duplicate group: five words, similarity 0.8 or more.
 
-    Of rows that repeat a kept doc_id with the same content, one stays."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    Of rows that repeat a kept doc_id one stays: the smallest by text, nulls last, then by the other columns. It has words
+    if a row with words was kept. Rows without a doc_id all stay."""
+    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null")
+    kept = kept.groupBy(F.col("doc_id").alias("_key")).agg(F.max(F.col("n_shingles") > 0).alias("_words"))
     same = docs.select(COLUMNS).withColumn("_key", F.col("doc_id").cast("bigint"))
-    named = same.join(kept.where("doc_id is not null").withColumnRenamed("doc_id", "_key"), "_key", "left_semi")
-    return named.unionByName(same.where("_key is null")).drop("_key")
+    named = same.join(kept, "_key")
+    order = ["text", *(c for c in COLUMNS if c != "text")]
+    row = F.struct(((mixing.word_count() > 0) != F.col("_words")).alias("_other"), *(e for c in order for e in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c))))
+    one = named.groupBy("_key").agg(F.min(row).alias("_row")).select(*(F.col(f"_row.{c}").alias(c) for c in COLUMNS))
+    return one.unionByName(same.where("_key is null").drop("_key"))
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -354,6 +354,17 @@ def test_pipeline(spark, docs, none):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_near_dedup_keeps_one_row_of_an_id(spark):
+    words = "one two three four five six seven eight"
+    rows = [(1, words, "en", "b", 1), (1, words, "en", "a", 1), (1, words, "en", "a", 1), (2, words, "en", "a", 1), (3, "other " + words[::-1], "en", "a", 1)]
+    rows += [(3, "a text of its own with the same id", "en", "a", 1), (4, words, "en", "a", 1), (4, None, "en", "a", 1), (5, None, None, "a", 1), (5, None, None, "a", 1)]
+    rows += [(None, words, "en", "a", 1)] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(map(tuple, corpus_pipeline.near_dedup(spark, df, SF).collect()), key=str)
+    want = [rows[1], rows[5], rows[7], rows[8], rows[10], rows[11]]
+    assert got == sorted(want, key=str)
+
+
 def test_pipeline_redacts(spark):
     df = spark.createDataFrame([(1, "see token = abcdef0123 end", "en", "s", 26)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     row = corpus_pipeline.no_secrets(spark, df, SF).first()
