@@ -2,7 +2,7 @@
 
 Base spans come from three patterns. The method then looks at every value that stands in a credential context (a wider
 set of names than the base pattern has, and the password part of a URL) and works out how many guesses it would take:
-the cheapest segmentation into common words, dates, repeats, keyboard walks, sequences and brute-force spans, found by
+the cheapest segmentation into common words (fixed ones and the most frequent words of the table), dates, repeats, keyboard walks, sequences and brute-force spans, found by
 dynamic programming. Values that take ``LEAST_GUESSES`` or more are spans of kind ``guess``; cheap ones such as
 ``password=changeme`` are placeholders and add none.
 """
@@ -27,10 +27,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24}")
 
-#: Names before a value that make it a credential, and the password of a URL.
+#: Names before a value that make it a credential, and the password of a URL. A value ends at whitespace or its quote.
 CONTEXT = re.compile(
-    r"""(?:(?:pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|bearer|api[_-]?key|(?:private|access|client|auth|signing)[_-]?(?:key|token|secret))"""
-    r"""["']?\x20*(?:[:=]\x20*|\bis\x20)["']?|[a-z][a-z0-9+.-]{1,15}://[^\s:/@"']{1,64}:)(?P<value>[^\s"'<>,;@]+)""",
+    r"""(?:(?:pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|bearer|api[_-]?key|(?:private|access|client|auth|signing|secret|encryption|session)[_-]?(?:access[_-]?)?(?:key|token|secret))"""
+    r"""["']?\x20*(?:[:=]\x20*|\bis\x20)|authorization["']?\x20*[:=]\x20*["']?(?:bearer|basic|token)\x20+)"""
+    r"""(?:"(?P<double>[^\s"]+)|'(?P<single>[^\s']+)|(?P<bare>[^\s"']\S*))"""
+    r"""|[a-z][a-z0-9+.-]{1,15}://[^\s:/@"']{0,256}:(?P<url>[^\s/"'<>]+)@""",
     re.I | re.A,
 )
 CONTEXT_HINT = re.compile(r"[:=]|\bis ", re.A)
@@ -47,7 +49,9 @@ WORDS = (
     " demo temp temporary placeholder redacted hidden private public access account db data base prod dev stage"
 ).split()
 RANK = {word: i + 1 for i, word in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+#: Bounds of the words taken from a table: their number, their length, and the rows of a word at least.
+TABLE_WORDS, LONGEST, LEAST_ROWS = 10_000, 24, 3
+TABLE_WORD = r"(?<![\p{L}\p{N}_])\p{L}{2,24}(?![\p{L}\p{N}_])"
 LEET = str.maketrans("@4301!$57", "aaeoiissT".lower())
 #: Rows of a keyboard, read both ways (fixed values).
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "1qaz2wsx3edc4rfv5tgb6yhn7ujm8ik9ol0p")
@@ -55,19 +59,27 @@ NEXT_KEY = {(a, b) for row in ROWS for a, b in [*zip(row, row[1:]), *zip(row[1:]
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
 
 
+def common_words(docs: DataFrame) -> dict[str, int]:
+    """Ranks of words: the fixed ones, then up to ``TABLE_WORDS`` of the table by the number of rows that hold them."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(TABLE_WORD), F.lit(0)))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS)
+    found = counts.orderBy(F.desc("n"), "word").limit(TABLE_WORDS).collect()
+    return {row["word"]: len(WORDS) + i + 1 for i, row in enumerate(found)} | RANK
+
+
 def _charset(text: str) -> int:
     size = 26 * any(c.islower() for c in text) + 26 * any(c.isupper() for c in text) + 10 * any(c.isdigit() for c in text)
     return max(10, size + 33 * any(not c.isalnum() for c in text))
 
 
-def _segments(text: str) -> Iterator[tuple[int, int, float]]:
+def _segments(text: str, rank_of: dict[str, int] = RANK) -> Iterator[tuple[int, int, float]]:
     """Cheap segments (start, end, log10 of guesses) of a part."""
     low, n = text.lower(), len(text)
     plain = low.translate(LEET)
     for i in range(n):
         for j in range(i + 2, min(n, i + LONGEST) + 1):
             for form, extra in ((low, 0.0), (plain, 0.7)):
-                if (rank := RANK.get(form[i:j])) is not None:
+                if (rank := rank_of.get(form[i:j])) is not None:
                     upper = 0.0 if text[i:j].islower() or not any(c.isupper() for c in text[i:j]) else 0.5
                     yield i, j, math.log10(rank) + extra + upper
                     break
@@ -104,18 +116,18 @@ def _sequence(text: str, i: int) -> bool:
     return abs(ord(text[i]) - ord(text[i - 1])) == 1
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, rank_of: dict[str, int] = RANK) -> float:
     """log10 of the guesses that the cheapest segmentation takes; 0 for an empty value.
 
     A segmentation costs the sum over its segments and the log of the orders of its segments; characters outside cheap
     segments cost log10 of the value's character set each. The dynamic program keeps the best cost by end.
     """
-    return sum(_part_cost(value[i : i + PART]) for i in range(0, len(value), PART))
+    return sum(_part_cost(value[i : i + PART], rank_of) for i in range(0, len(value), PART))
 
 
-def _part_cost(text: str) -> float:
+def _part_cost(text: str, rank_of: dict[str, int]) -> float:
     ends: list[list[tuple[int, float]]] = [[] for _ in range(len(text) + 1)]
-    for i, j, cost in _segments(text):
+    for i, j, cost in _segments(text, rank_of):
         ends[j].append((i, cost))
     brute = math.log10(_charset(text))
     best = [0.0] * (len(text) + 1)
@@ -137,11 +149,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def guessed_spans(text: str) -> list[tuple[int, int, str]]:
+def guessed_spans(text: str, rank_of: dict[str, int] = RANK) -> list[tuple[int, int, str]]:
     """Values in a credential context that are costly to guess."""
     if not CONTEXT_HINT.search(text):
         return []
-    return [(*m.span("value"), "guess") for m in CONTEXT.finditer(text) if guess_cost(m["value"]) >= math.log10(LEAST_GUESSES)]
+    found = [m.span(m.lastgroup) for m in CONTEXT.finditer(text)]
+    return [(a, b, "guess") for a, b in found if guess_cost(text[a:b], rank_of) >= math.log10(LEAST_GUESSES)]
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -154,6 +167,7 @@ def scan(docs: DataFrame) -> DataFrame:
     Every row is scanned whole and kept, with repeated and null doc_ids. A null text counts as empty: no spans, and the
     digest of the empty string. Other columns are ignored.
     """
+    ranks = docs.sparkSession.sparkContext.broadcast(common_words(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -161,7 +175,7 @@ def scan(docs: DataFrame) -> DataFrame:
             shas, spans = [], []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text or "")
-                more = guessed_spans(text or "")
+                more = guessed_spans(text or "", ranks.value)
                 for kind, out in zip(KINDS, counts):
                     out.append(sum(s[2] == kind for s in (more if kind == "guess" else base)))
                 shas.append(hashlib.sha256(joined(base).encode()).hexdigest())
@@ -181,19 +195,20 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Overlapping spans are replaced as one.
     """
+    ranks = docs.sparkSession.sparkContext.broadcast(common_words(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             at = batch.schema.get_field_index("text")
-            texts = [None if text is None else _replaced(text, mark) for text in batch.column(at).to_pylist()]
+            texts = [None if text is None else _replaced(text, mark, ranks.value) for text in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def _replaced(text: str, mark: str) -> str:
+def _replaced(text: str, mark: str, rank_of: dict[str, int]) -> str:
     out, last = [], 0
-    for a, b, _ in sorted(base_spans(text) + guessed_spans(text)):
+    for a, b, _ in sorted(base_spans(text) + guessed_spans(text, rank_of)):
         if b <= last:
             continue
         if a >= last:

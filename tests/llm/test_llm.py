@@ -130,6 +130,21 @@ def test_secrets(docs, none):
     assert len(got) == docs.count() and all(r.base_sha256 == sha("") for r in got) and secrets.scan(none).count() == 0
 
 
+def test_secrets_context():
+    found = lambda text: [text[a:b] for a, b, _ in secrets.guessed_spans(text)]
+    assert found("password: k7@Qz!9mWp2 x") == found("'password': 'k7@Qz!9mWp2' x") == ["k7@Qz!9mWp2"]
+    assert found("Authorization: Bearer eyJhbGciOiJIUzI1") == ["eyJhbGciOiJIUzI1"] and found("secret_key = kJ8#m,Qz;2Lx") == ["kJ8#m,Qz;2Lx"]
+    assert found("redis://:k7Qz!9mWp2@host/0") == found("ftp://user:k7Qz!9mWp2@host") == ["k7Qz!9mWp2"]
+    assert found("see http://localhost:8080/index.html and http://a.b:8080/x@y.html") == []
+
+
+def test_secrets_leave_words_of_the_table(spark):
+    texts = ["The password is incorrect.", "the secret is patience"] + ["patience is never incorrect here"] * 3 + ["password: kJ8#mQz!p2Lx"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = [r.text for r in secrets.redact(df).orderBy("doc_id").collect()]
+    assert got == [*texts[:-1], "password: [secret]"] and [r.n_guess for r in secrets.scan(df).orderBy("doc_id").collect()] == [0] * 5 + [1]
+
+
 def brute_cost(text):
     """Least cost over all segmentations, by recursion instead of the dynamic program."""
     import math
