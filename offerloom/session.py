@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "offerloom", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -51,3 +52,12 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a narrow table (keys and flags) that every executor may hold: some 50 MB.
+MOST_BROADCAST = 1_000_000
+
+
+def checked_broadcast(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``most`` rows; larger ones join by a shuffle. For stored, narrow tables."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
