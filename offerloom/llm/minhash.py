@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.llm.graph import components
-from offerloom.session import cut_lineage
+from offerloom.session import checked_broadcast, cut_lineage
 
 MASK = (1 << 64) - 1
 #: Outliers of a star that one task compares with the star's members.
@@ -201,8 +201,9 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
     banded = classes.select("id", F.explode("keys").alias("key")).distinct()
     buckets = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     members = cut_lineage(banded.join(buckets, "key"), "members")
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = cut_lineage(full_sets(docs.join(wanted, "doc_id", "left_semi"), how).distinct(), "sets")
+    # A small part of the documents shares a bucket; where their ids are few enough, no text is shuffled to find them.
+    wanted = cut_lineage(members.select(F.col("id").alias("doc_id")).distinct(), "wanted")
+    sets = cut_lineage(full_sets(docs.join(checked_broadcast(wanted), "doc_id", "left_semi"), how).distinct(), "sets")
     labels = confirm_stars(members, sets, given, how.percent)
     out = placed.join(labels, "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
