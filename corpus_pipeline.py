@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from offerloom.llm import bpe, langid, minhash, mixing, secrets
 from offerloom.llm.queries import TOKENIZER
-from offerloom.session import cut_lineage
+from offerloom.session import checked_broadcast, cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -29,14 +29,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that repeat a kept doc_id one stays: the smallest by text, nulls last, then by the other columns. It has words
     if a row with words was kept. Rows without a doc_id all stay."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null")
-    kept = kept.groupBy(F.col("doc_id").alias("_key")).agg(F.max(F.col("n_shingles") > 0).alias("_words"))
+    found = minhash.near_duplicates(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("_key"))
+    marks = found.agg(F.count("*").alias("_n"), F.max("kept").alias("_kept"), F.max(F.col("kept") & (F.col("n_shingles") > 0)).alias("_words"))
+    # Rows of ids that go or repeat are the exception; the texts of all others need no shuffle where those ids are few.
+    marks = cut_lineage(marks.where("not _kept or _n > 1"), "marks")
     same = docs.select(COLUMNS).withColumn("_key", F.col("doc_id").cast("bigint"))
-    named = same.join(kept, "_key")
+    single = same.join(checked_broadcast(marks.select("_key")), "_key", "left_anti")
+    repeated = same.join(checked_broadcast(marks.where("_kept").select("_key", "_words")), "_key")
     order = ["text", *(c for c in COLUMNS if c != "text")]
     row = F.struct(((mixing.word_count() > 0) != F.col("_words")).alias("_other"), *(e for c in order for e in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c))))
-    one = named.groupBy("_key").agg(F.min(row).alias("_row")).select(*(F.col(f"_row.{c}").alias(c) for c in COLUMNS))
-    return one.unionByName(same.where("_key is null").drop("_key"))
+    one = repeated.groupBy("_key").agg(F.min(row).alias("_row")).select(*(F.col(f"_row.{c}").alias(c) for c in COLUMNS))
+    return single.select(COLUMNS).unionByName(one)
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
