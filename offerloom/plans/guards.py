@@ -24,7 +24,8 @@ REASONS = [
 GROUPS = ("seafood", "meat")
 FLOOR_SHARE = 0.5
 PREMIUM_RATIO = 5.0
-SCHEMA = T.StructType.fromDDL(RULE_SCHEMA)
+TYPES = {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
+SCHEMA = T.StructType([T.StructField(name, TYPES[kind]) for name, kind in (c.split(" ") for c in RULE_SCHEMA.split(", "))])
 
 Line = tuple[str, int, str, str, bool, str, str | None, str | None]
 

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.operators.merge import TABLE, clean_batch, import_stats, last_per_key, merge_snapshot, unique_key
+from offerloom.functions.text import SEARCH_STOPWORDS, search_words
+from offerloom.operators.postings import PostingIndex
 from offerloom.plans import derive as d
+from offerloom.session import cut_lineage, fresh_dir
 
 # Feeds of the derived tables, as SQL that both engines read: what the store holds, and the raw rows of the new list.
 _K = "(l_partkey + l_suppkey)"
@@ -74,7 +77,22 @@ def q_refused(spark: SparkSession, sf: str) -> DataFrame:
     return rows.filter("refused IS NOT NULL").select("supplier_id", "row_no", "refused")
 
 
+def q_stored_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The token index of the stored table after an import in two halves with a merge between them: offers of every token."""
+    index = PostingIndex(fresh_dir(spark, "stored-index"))
+    rows = lambda t: t.filter("active").select(F.col("unique_key").alias("id"), search_words(F.col("name_raw")).alias("tokens"))
+    index.build(rows(stored_table(spark, sf)))
+    merged = cut_lineage(_import(spark, sf)[1], "imported")
+    for half in (0, 1):
+        part = merged.filter(F.col("supplier_id") % 2 == half)
+        index.update(rows(part.filter("change IN ('created', 'updated')")), part.filter("change = 'deactivated'").select(F.col("unique_key").alias("id")))
+        if half == 0:
+            index.merge(spark)
+    return index.read(spark).groupBy("token").agg(F.count("*").alias("n_offers"), F.min("id").alias("first_id"))
+
+
 QUERIES = {
+    "stored_index": q_stored_index,
     "import_snapshot": q_import,
     "import_stats": q_stats,
     "deactivate_old": q_deactivate,
@@ -97,7 +115,12 @@ _IMPORT = f"""WITH {d.CTE_OFFERS}
        WHEN st.active AND st.supplier_id IN (SELECT supplier_id FROM nw) THEN 'deactivated' ELSE 'kept' END AS change
      FROM st FULL OUTER JOIN nw USING (unique_key))"""
 
+_STOP = ", ".join(f"'{w}'" for w in SEARCH_STOPWORDS)
 ORACLE = {
+    "stored_index": _IMPORT + rf""" , nm AS (SELECT m.unique_key, any_value(coalesce(trim(ok.name_raw), st.name_raw)) AS name FROM m LEFT JOIN ok USING (unique_key) LEFT JOIN st USING (unique_key) WHERE m.active GROUP BY 1)
+      , t AS (SELECT unique_key, unnest(list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(name), '[^0-9a-zа-я_/\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '),
+          lambda w: regexp_full_match(w, '\d+(/\d+)?') OR (len(w) > 1 AND w NOT IN ({_STOP}))))) AS token FROM nm)
+      SELECT token, count(*) AS n_offers, min(unique_key) AS first_id FROM t GROUP BY 1""",
     "import_snapshot": _IMPORT + " SELECT unique_key, supplier_id, price, price_list_id, active, change FROM m",
     "import_stats": _IMPORT + """ , r AS (SELECT supplier_id, count(*) AS n_rows, count(*) FILTER (WHERE refused = 'EMPTY_NAME') AS n_empty_name,
           count(*) FILTER (WHERE refused = 'BAD_PRICE') AS n_bad_price FROM raw GROUP BY 1)

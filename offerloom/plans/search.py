@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions.text import lemmas, query_words, search_tokens, short_stem
 from offerloom.operators.cells import top_k
+from offerloom.operators.trigrams import gram_index, match_parts
 from offerloom.plans import derive as d
 from offerloom.plans.catalog import sellable
 from offerloom.session import cut_lineage
@@ -65,7 +66,7 @@ def search(queries: DataFrame, names: DataFrame, groups: list[list[str]]) -> Dat
     """(query_id, name) by the plan of each query.
 
     One word: lemma match when it is complete, and in any case word-start match. Several words: all lemmas, all
-    canonical synonyms, or all words as written; with an unfinished last word, also the other lemmas plus its prefix.
+    canonical synonyms, or all words as parts of the name in any order; with an unfinished last word, also the other lemmas plus its prefix.
     """
     # Both are read by every branch below, so they are written once.
     q = queries.withColumn("tokens", query_words(F.col("query"))).filter(F.size("tokens") > 0)
@@ -81,11 +82,11 @@ def search(queries: DataFrame, names: DataFrame, groups: list[list[str]]) -> Dat
     by_lemma = match_all(q.filter("n > 1 OR done").select("query_id", F.col("lemma").alias("tokens")), stems)
     by_start = match_prefix(one.select("query_id", F.col("last").alias("prefix")), words)
     by_synonym = match_all(expand_synonyms(many, groups), canon)
-    by_word = match_all(many.select("query_id", "tokens"), words)
+    by_part = match_parts(many.select("query_id", "tokens"), gram_index(names))
     open_end = many.filter("NOT done").withColumn("head", lemmas(F.slice("tokens", 1, F.size("tokens") - 1)))
     by_head = match_all(open_end.select("query_id", F.col("head").alias("tokens")), stems)
     by_tail = match_prefix(open_end.select("query_id", F.col("last").alias("prefix")), words)
-    found = by_lemma.unionByName(by_start).unionByName(by_synonym).unionByName(by_word)
+    found = by_lemma.unionByName(by_start).unionByName(by_synonym).unionByName(by_part)
     return found.unionByName(by_head.join(by_tail, ["query_id", "name"])).distinct()
 
 
@@ -141,6 +142,21 @@ QUERY_SHAPES = """
 """
 
 
+# Pieces of words in another order than in the names, down to one letter.
+PART_SHAPES = """
+  SELECT DISTINCT p_name || '#mid' AS query_id, substr(split_part(p_name, ' ', 2), 2, 3) || ' ' || substr(p_name, 1, 2) AS query FROM part
+  UNION SELECT DISTINCT p_brand || '#brand', substr(lower(p_brand), 3) || ' ' || substr(p_name, 2, 2) FROM part
+  UNION SELECT DISTINCT p_size || '#size', p_size || 'kg ill' FROM part
+  UNION SELECT DISTINCT substr(p_name, 1, 1) || '#letter', substr(p_name, 1, 1) || ' ' || substr(p_name, 3, 1) || ' zen' FROM part
+  UNION SELECT DISTINCT p_name || '#none', p_name || ' qqq' FROM part
+"""
+
+
+def part_queries(spark: SparkSession, sf: str) -> DataFrame:
+    d.table(spark, sf, "part").createOrReplaceTempView("_search_part")
+    return spark.sql(PART_SHAPES.replace("FROM part", "FROM _search_part"))
+
+
 def query_table(spark: SparkSession, sf: str) -> DataFrame:
     d.table(spark, sf, "part").createOrReplaceTempView("_search_part")
     return spark.sql(QUERY_SHAPES.replace("FROM part", "FROM _search_part"))
@@ -193,6 +209,13 @@ def q_prefix_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("query_id").agg(F.count("*").alias("n_names"), F.min("name").alias("first_name"))
 
 
+def q_substring_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Names that hold every word of a query as a part; the queries are pieces out of the middle of item names."""
+    asked = part_queries(spark, sf).withColumn("tokens", F.split("query", " "))
+    found = match_parts(asked, gram_index(_names(spark, sf)))
+    return found.groupBy("query_id").agg(F.count("*").alias("n_names"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
+
+
 def q_search(spark: SparkSession, sf: str) -> DataFrame:
     found = search(query_table(spark, sf), _names(spark, sf), SYNONYMS)
     return found.groupBy("query_id").agg(F.count("*").alias("n_names"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
@@ -223,6 +246,7 @@ QUERIES = {
     "lemma_search": q_lemma_search,
     "synonym_search": q_synonym_search,
     "prefix_search": q_prefix_search,
+    "substring_search": q_substring_search,
     "catalog_search": q_search,
     "search_rank": q_rank,
     "query_brand_detect": q_query_brand,
@@ -256,8 +280,10 @@ _MATCH = f"""{_Q}
  , pre AS (SELECT DISTINCT query_id, name FROM (SELECT DISTINCT query_id, last FROM qw) JOIN nw ON starts_with(w, last))"""
 _SEARCH = f"""{_MATCH}
  , meta AS (SELECT DISTINCT query_id, len(toks) AS n, toks[-1] AS last, len(toks[-1]) >= 6 AS done, toks FROM q WHERE len(toks) > 0)
+ , part_of AS (SELECT query_id, name FROM meta, nm WHERE n > 1 AND len(list_filter(toks, lambda w: contains(lower(name), w))) = n)
  , head AS (SELECT query_id, name FROM (SELECT query_id, unnest(toks[1:n - 1]) AS w, n - 1 AS k FROM meta WHERE n > 1 AND NOT done) JOIN nw USING (w) GROUP BY query_id, name, k HAVING count(*) = k)
  , found AS (SELECT query_id, name FROM allw JOIN meta USING (query_id) WHERE meta.n > 1 OR done UNION SELECT query_id, name FROM pre JOIN meta USING (query_id) WHERE meta.n = 1
+     UNION SELECT query_id, name FROM part_of
      UNION SELECT query_id, name FROM syn JOIN meta USING (query_id) WHERE meta.n > 1
      UNION SELECT query_id, name FROM head JOIN pre USING (query_id, name))"""
 _AGG = "SELECT query_id, count(*) AS n_names, min(name) AS first_name FROM {} GROUP BY 1"
@@ -282,6 +308,9 @@ ORACLE = {
     "lemma_search": f"WITH {d.CTE_ITEMS}, {_MATCH} " + _AGG.format("allw"),
     "synonym_search": f"WITH {d.CTE_ITEMS}, {_MATCH} " + _AGG.format("syn"),
     "prefix_search": f"WITH {d.CTE_ITEMS}, {_MATCH} " + _AGG.format("pre"),
+    "substring_search": f"""WITH {d.CTE_ITEMS}, q AS ({PART_SHAPES}), nm AS (SELECT DISTINCT name_raw AS name FROM items)
+      SELECT query_id, count(*) AS n_names, min(name) AS first_name, max(name) AS last_name FROM q, nm
+      WHERE len(list_filter(string_split(query, ' '), lambda w: NOT contains(lower(name), lower(w)))) = 0 GROUP BY 1""",
     "catalog_search": f"WITH {d.CTE_ITEMS}, {_SEARCH} SELECT query_id, count(*) AS n_names, min(name) AS first_name, max(name) AS last_name FROM found GROUP BY 1",
     "search_rank": f"""WITH {d.CTE_OFFERS}, {_SEARCH}
       , sc AS (SELECT f.query_id, f.name, greatest(len(list_intersect(list_distinct(q.toks), nm.words)) / len(list_distinct(q.toks)),

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from offerloom.operators.merge import TABLE, clean_batch, last_per_key, merge_snapshot
+from offerloom.operators.merge import clean_batch
+from offerloom.operators.offerstore import OfferStore
 
 PLAN_TTL = "60 minutes"
 LATENESS = "2 hours"
@@ -83,23 +84,15 @@ def valid_checkouts(events: DataFrame) -> DataFrame:
     return checkouts.join(plans, valid, "left_semi")
 
 
-def import_stream(raw: DataFrame, first: str, out: str, checkpoint: str, list_id: str) -> StreamingQuery:
-    """Price lists landing as files: every micro-batch merges into a new version of the table.
+def import_stream(raw: DataFrame, store: OfferStore, checkpoint: str) -> StreamingQuery:
+    """Price lists landing as files, in any number of parts and batches: every micro-batch adds its rows to the store.
 
-    A batch reads the newest version before its own and overwrites its own, so replays are harmless.
+    ``raw`` names the list of each row (price_list_id, and list_no that rises from a supplier's list to its next). Version
+    numbers follow from the batch number, so a batch that is run again replaces what it wrote.
     """
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = first if batch_id == 0 else _batch_dir(out, batch_id - 1)
-        rows = clean_batch(batch, F.lit(list_id)).filter("refused IS NULL")
-        merged = merge_snapshot(spark.read.parquet(before).select(*TABLE), last_per_key(rows))
-        merged.write.mode("overwrite").parquet(_batch_dir(out, batch_id))
+    def add(batch: DataFrame, batch_id: int) -> None:
+        rows = clean_batch(batch, F.col("price_list_id")).filter("refused IS NULL")
+        store.add(rows, 2 * batch_id + 2)
+        store.compact(batch.sparkSession, 2 * batch_id + 3)
 
-    return raw.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
-
-
-def newest_version(spark: SparkSession, out: str) -> DataFrame:
-    """The table as of the last batch."""
-    rows = spark.read.option("basePath", out).parquet(out)
-    last = rows.agg(F.max("batch").alias("batch"))
-    return rows.join(F.broadcast(last), "batch", "left_semi").drop("batch")
+    return raw.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(add).start()
