@@ -10,6 +10,7 @@ from offerloom.functions.text import SEARCH_STOPWORDS, search_words
 from offerloom.operators.postings import PostingIndex
 from offerloom.plans import derive as d
 from offerloom.session import cut_lineage, fresh_dir
+from offerloom.sources.feeds import CYRILLIC, LATIN_1, Feed, layouts, read_feed
 
 # Feeds of the derived tables, as SQL that both engines read: what the store holds, and the raw rows of the new list.
 _K = "(l_partkey + l_suppkey)"
@@ -91,7 +92,56 @@ def q_stored_index(spark: SparkSession, sf: str) -> DataFrame:
     return index.read(spark).groupBy("token").agg(F.count("*").alias("n_offers"), F.min("id").alias("first_id"))
 
 
+# Two layouts of the derived feeds: Russian headings, semicolons and Windows-1251 with a second column that could be a name, and
+# English headings with commas in UTF-8.
+_MAPPED = {"old": (0, ";"), "new": (1, ",")}
+
+
+def _written_feeds(spark: SparkSession, sf: str) -> dict[str, str]:
+    """Folder of every layout's files; suppliers with an even number send the old one."""
+    base, out = fresh_dir(spark, "feeds"), {}
+    feed = cut_lineage(raw_feed(spark, sf), "feed")
+    for layout, (half, sep) in _MAPPED.items():
+        rows = feed.filter(F.col("supplier_id") % 2 == half)
+        code, number = F.col("article"), F.concat_ws("-", F.col("supplier_id").cast("string"), F.col("row_no").cast("string"))
+        if layout == "old":
+            titles = {"Код товара поставщика": code, "Поставщик": F.lit("ООО; Ромашка"), "Товар": F.pmod("row_no", F.lit(97)).cast("string"), "Наименование": F.col("name"), "Ед. изм.": F.col("unit"), "Цена за единицу": F.replace("price", F.lit("₽"), F.lit("руб")), "Номер": number}
+            latin = lambda c: F.translate(c, CYRILLIC, LATIN_1)
+            rows = rows.select(*(latin(c).alias(t.translate(str.maketrans(CYRILLIC, LATIN_1))) for t, c in titles.items()))
+            rows.write.option("header", True).option("sep", sep).option("encoding", "ISO-8859-1").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/{layout}")
+        else:
+            titles = {"article": code, "productName": F.col("name"), "unit": F.col("unit"), "price": F.col("price"), "row, total": number}
+            rows.select(*(c.alias(t) for t, c in titles.items())).write.option("header", True).option("sep", sep).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/{layout}")
+        out[layout] = f"{base}/{layout}"
+    return out
+
+
+def q_feed_layouts(spark: SparkSession, sf: str) -> DataFrame:
+    """What a look at the files finds, and how many rows they hold without their headings."""
+    found = None
+    for layout, path in _written_feeds(spark, sf).items():
+        part = layouts(spark, path).groupBy(F.lit(layout).alias("layout"), "encoding", "sep", "n_fields").agg(F.sum(F.col("n_lines") - 1).alias("n_rows"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def q_feed_import(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of both layouts after reading and cleaning: rows, refused ones, different names and articles, and the sum of prices."""
+    found = None
+    for layout, path in _written_feeds(spark, sf).items():
+        rows = clean_batch(read_feed(spark, Feed("0", path, "", "")), F.lit("v2"))
+        part = rows.groupBy(F.lit(layout).alias("layout")).agg(
+            F.count("*").alias("n_rows"), F.count(F.when(F.col("refused") == "EMPTY_NAME", 1)).alias("n_empty"), F.count(F.when(F.col("refused") == "BAD_PRICE", 1)).alias("n_bad"),
+            F.countDistinct(F.when(F.col("refused").isNull(), F.col("name_raw"))).alias("n_names"), F.countDistinct("article").alias("n_articles"),
+            F.round(F.sum(F.when(F.col("refused").isNull(), F.col("price"))), 2).alias("total"),
+        )
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 QUERIES = {
+    "feed_layouts": q_feed_layouts,
+    "feed_import": q_feed_import,
     "stored_index": q_stored_index,
     "import_snapshot": q_import,
     "import_stats": q_stats,
@@ -117,6 +167,11 @@ _IMPORT = f"""WITH {d.CTE_OFFERS}
 
 _STOP = ", ".join(f"'{w}'" for w in SEARCH_STOPWORDS)
 ORACLE = {
+    "feed_layouts": _IMPORT + """ SELECT CASE WHEN supplier_id % 2 = 0 THEN 'old' ELSE 'new' END AS layout, CASE WHEN supplier_id % 2 = 0 THEN 'cp1251' ELSE 'UTF-8' END AS encoding,
+        CASE WHEN supplier_id % 2 = 0 THEN ';' ELSE ',' END AS sep, CAST(CASE WHEN supplier_id % 2 = 0 THEN 7 ELSE 5 END AS INT) AS n_fields, count(*) AS n_rows FROM raw GROUP BY ALL""",
+    "feed_import": _IMPORT + """ SELECT CASE WHEN supplier_id % 2 = 0 THEN 'old' ELSE 'new' END AS layout, count(*) AS n_rows, count(*) FILTER (WHERE refused = 'EMPTY_NAME') AS n_empty,
+        count(*) FILTER (WHERE refused = 'BAD_PRICE') AS n_bad, count(DISTINCT CASE WHEN refused IS NULL THEN name_raw END) AS n_names, count(DISTINCT article) AS n_articles,
+        round(sum(CASE WHEN refused IS NULL THEN new_price END), 2) AS total FROM raw GROUP BY 1""",
     "stored_index": _IMPORT + rf""" , nm AS (SELECT m.unique_key, any_value(coalesce(trim(ok.name_raw), st.name_raw)) AS name FROM m LEFT JOIN ok USING (unique_key) LEFT JOIN st USING (unique_key) WHERE m.active GROUP BY 1)
       , t AS (SELECT unique_key, unnest(list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(name), '[^0-9a-zа-я_/\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '),
           lambda w: regexp_full_match(w, '\d+(/\d+)?') OR (len(w) > 1 AND w NOT IN ({_STOP}))))) AS token FROM nm)

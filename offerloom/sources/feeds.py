@@ -18,12 +18,17 @@ COLUMN_WORDS = {
     "min_order": ["минимальный заказ", "мин. заказ", "min_order"],
     "price": ["цена за единицу", "цена", "price", "стоимость"],
 }
+# Headings of names proper, and of codes.
+NAME_FIRST = ["название", "наименование"]
+CODE_WORDS = ["код", "артикул", "sku", "code", "article"]
 HEADER_ROWS = 5
+#: Separators in the order in which they are tried.
+SEPARATORS = [";", ",", "\t", "|"]
 
 
 @dataclass(frozen=True)
 class Feed:
-    """Registry entry of one supplier's feed."""
+    """Registry entry of one supplier's feed. An empty separator or encoding is found by a look at the files."""
 
     supplier_id: str
     path: str
@@ -59,29 +64,89 @@ def find_header(rows: list[list[str]]) -> tuple[int, dict[str, int]] | None:
     return None
 
 
+def layouts(spark: SparkSession, path: str) -> DataFrame:
+    """Per file below ``path``: encoding, separator, fields of a row and lines, from one pass over its lines.
+
+    A file with a line that is no UTF-8 is taken for Windows-1251. Of the separators the one wins under which most lines have
+    the same number of fields, two at least; the first in ``SEPARATORS`` of equals. Text in quotes doesn't count. A file of
+    one column has no separator.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    plain = F.regexp_replace(F.make_valid_utf8("value"), '"[^"]*"', "")
+    fields = lambda sep: F.length(plain) - F.length(F.replace(plain, F.lit(sep), F.lit(""))) + 1
+    counts = F.array(*(F.struct(F.lit(k).alias("sep"), fields(sep).alias("n_fields")) for k, sep in enumerate(SEPARATORS)))
+    seen = lines.select("file", (~F.is_valid_utf8("value")).cast("int").alias("bad"), F.explode(counts).alias("c"))
+    shapes = seen.groupBy("file", "c.sep", "c.n_fields").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    best = shapes.groupBy("file").agg(
+        F.max(F.when(F.col("n_fields") > 1, F.struct("n", (-F.col("sep")).alias("sep"), "n_fields"))).alias("b"),
+        F.sum(F.when(F.col("sep") == 0, F.col("n"))).alias("n_lines"), F.sum("bad").alias("bad"),
+    )
+    sep = F.get(F.array(*map(F.lit, SEPARATORS)), -F.col("b.sep"))
+    return best.select("file", F.when(F.col("bad") > 0, "cp1251").otherwise("UTF-8").alias("encoding"), sep.alias("sep"), F.coalesce("b.n_fields", F.lit(1)).alias("n_fields"), "n_lines")
+
+
+def raw_cells(spark: SparkSession, path: str, sep: str, encoding: str) -> DataFrame:
+    """Cells as text (columns _c0, _c1, ...), with the ``file``, the line order in it as ``row_no``, and whether the row may be a heading."""
+    cyrillic = encoding.lower() in ("cp1251", "windows-1251")
+    raw = spark.read.option("sep", sep).option("encoding", "ISO-8859-1" if cyrillic else encoding).option("quote", '"').csv(path)
+    cells = [F.translate(F.col(c), LATIN_1, CYRILLIC).alias(c) if cyrillic else F.col(c) for c in raw.columns]
+    rows = raw.select(*cells, F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row_no"), (F.col("_metadata.file_block_start") == 0).alias("_top"))
+    # Rows of a file's first block follow each other from its first line on, wherever Spark put the block.
+    first = rows.filter("_top").groupBy("file").agg(F.min("row_no").alias("_first"))
+    return rows.join(first, "file", "left").withColumn("top", F.when(F.col("_top"), F.col("row_no") - F.col("_first") < HEADER_ROWS).otherwise(False)).drop("_top", "_first")
+
+
+def choose_columns(head: list[list[str]], names: list[str], profile: dict[str, float]) -> tuple[int, dict[str, int]] | None:
+    """Heading row and column of every field; of several columns with a name's heading the one that looks most like names.
+
+    ``profile`` gives each column's mean length times its share of values that are no numbers. Headings of codes and of
+    suppliers are never names.
+    """
+    found = find_header(head)
+    if found is None:
+        return None
+    row, mapping = found
+    titles = [(c or "").lower().strip() for c in head[row]]
+    rated = []
+    for k, title in enumerate(titles):
+        if any(w in title for w in CODE_WORDS) or any(w in title for w in COLUMN_WORDS["supplier"]):
+            continue
+        rank = 2 if any(w in title for w in NAME_FIRST) else 1 if any(w in title for w in COLUMN_WORDS["name"]) else 0
+        if rank:
+            rated.append((rank + 0.1 * profile.get(names[k], 0.0), -k))
+    if rated:
+        chosen = -max(rated)[1]
+        mapping = {f: k for f, k in mapping.items() if k != chosen} | {"name": chosen}
+    return row, mapping
+
+
 def read_feed(spark: SparkSession, feed: Feed) -> DataFrame:
-    """Rows of a feed as text columns named by field, with the line order kept as ``row_no``.
+    """Rows of a feed (a file, or a folder of files of one layout) as text columns named by field, with the line order as ``row_no``.
 
-    Only the few header candidates come to the driver; the rows stay on Spark.
+    An empty separator or encoding of the registry entry is found by ``layouts``. Only the heading candidates of the first
+    file and a number for each column come to the driver; the rows stay on Spark.
     """
-    cyrillic = feed.encoding.lower() in ("cp1251", "windows-1251")
-    encoding = "ISO-8859-1" if cyrillic else feed.encoding
-    raw = spark.read.option("sep", feed.sep).option("encoding", encoding).option("quote", '"').csv(feed.path)
-    if cyrillic:
-        raw = raw.select(*[F.translate(F.col(c), LATIN_1, CYRILLIC).alias(c) for c in raw.columns])
-    head = raw.limit(HEADER_ROWS).collect()
-    found = find_header([[c for c in row] for row in head])
+    sep, encoding = feed.sep, feed.encoding
+    if not sep or not encoding:
+        told = layouts(spark, feed.path).orderBy(F.desc("n_lines"), "file").first()
+        sep, encoding = sep or told["sep"] or ",", encoding or told["encoding"]
+    raw = raw_cells(spark, feed.path, sep, encoding)
+    names = [c for c in raw.columns if c not in ("file", "row_no", "top")]
+    tops = raw.filter("top")
+    one = tops.agg(F.min("file")).first()[0]
+    head = [list(r)[: len(names)] for r in tops.filter(F.col("file") == one).orderBy("row_no").select(*names, "row_no").collect()]
+    profile = {r["column"]: r["name_score"] for r in profile_columns(raw.filter("NOT top").select(*names)).collect()}
+    found = choose_columns(head, names, profile)
     if found is None and not feed.columns:
         raise ValueError("no header row with product and price")
     position, mapping = found if found else (0, {})
     for name, column in feed.columns.items():
         titles = [(c or "").strip().lower() for c in head[position]]
         mapping[name] = titles.index(column.lower())
-    numbered = raw.withColumn("row_no", F.monotonically_increasing_id())
-    header = F.concat_ws("\u0001", *[F.coalesce(F.col(c), F.lit("")) for c in raw.columns])
-    skipped = ["\u0001".join((c or "") for c in row) for row in head[: position + 1]]
-    body = numbered.filter(~header.isin(skipped))
-    fields = [F.col(raw.columns[mapping[n]]).alias(n) if n in mapping else F.lit(None).cast("string").alias(n) for n in COLUMN_WORDS]
+    line = lambda cells: F.concat_ws("\u0001", *cells)
+    heading = line([F.coalesce(F.col(c), F.lit("")) for c in names]).isin(["\u0001".join((c or "") for c in row) for row in head[: position + 1]])
+    body = raw.filter(~(F.col("top") & heading))
+    fields = [F.col(names[mapping[n]]).alias(n) if n in mapping else F.lit(None).cast("string").alias(n) for n in COLUMN_WORDS]
     return body.select(F.lit(feed.supplier_id).alias("supplier_id"), "row_no", *fields)
 
 
