@@ -17,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerloom.session import checked_broadcast, cut_lineage
+
 WINDOW = 256
-#: Bound of the training sample of a language: documents, and characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 24, 1_000
-#: Characters that the automata tell apart; rarer ones share the last symbol, which matches nothing.
-ALPHABET = 63
+#: Bound of the training sample of a language: documents, and characters of each in spans spread over the whole text.
+SAMPLE_DOCS, SAMPLE_CHARS, SPANS = 24, 1_000, 4
+#: Characters of a language whose transitions lie in a dense table, the most frequent ones of its sample; those of all others lie
+#: in a sorted list. That changes the time of a step and no result.
+DENSE = 63
 #: Rows that a worker takes at once.
 BATCH_ROWS = 2_000
 NO_LANGUAGE = "und"
@@ -50,8 +53,8 @@ def letters(text: str) -> np.ndarray:
     return points[keep]
 
 
-def suffix_automaton(symbols: np.ndarray, width: int) -> np.ndarray:
-    """Dense transitions (state x symbol) of the suffix automaton; -1 where there is none."""
+def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of every state of the suffix automaton."""
     nexts: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols.tolist():
@@ -77,28 +80,66 @@ def suffix_automaton(symbols: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    table = np.full((len(nexts), width), -1, np.int32)
-    for state, out in enumerate(nexts):
-        for c, to in out.items():
-            table[state, c] = to
-    return table
+    return nexts
+
+
+class Table:
+    """Transitions of one language, by its own symbols: its sample's characters from the most frequent on, then one for all others.
+
+    ``dense`` (state x symbol, -1 for none) has the first ``DENSE`` symbols and a last column without transitions; the others
+    are in ``keys`` (state * symbols + symbol, sorted) with the states ``ends``. The state after the last one is where every
+    symbol starts a new phrase; ``first`` leads there where a symbol matches nothing.
+    """
+
+    def __init__(self, text: np.ndarray, alphabet: np.ndarray):
+        points, counts = np.unique(text, return_counts=True)
+        ordered = points[np.lexsort((points, -counts))]
+        self.symbols = len(ordered) + 1
+        #: Symbol of each character of the common alphabet, whose last entry stands for characters outside it.
+        self.of = np.full(len(alphabet) + 1, len(ordered), np.int32)
+        self.of[np.searchsorted(alphabet, ordered)] = np.arange(len(ordered))
+        nexts = suffix_automaton(self.of[np.searchsorted(alphabet, text)])
+        width = min(DENSE, len(ordered))
+        self.dense = np.full((len(nexts) + 1, width + 1), -1, np.int32)
+        rest = {}
+        for state, out in enumerate(nexts):
+            for c, to in out.items():
+                if c < width:
+                    self.dense[state, c] = to
+                else:
+                    rest[state * self.symbols + c] = to
+        self.keys = np.array(sorted(rest), np.int64)
+        self.ends = np.array([rest[k] for k in self.keys.tolist()], np.int32)
+        self.first = np.full(self.symbols, len(nexts), np.int32)
+        self.first[list(nexts[0])] = list(nexts[0].values())
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The states that follow, -1 where there is none."""
+        width = self.dense.shape[1]
+        to = self.dense.ravel()[state.astype(np.int64) * width + np.minimum(symbol, width - 1)]
+        if len(self.keys):
+            rare = np.flatnonzero((symbol >= width - 1) & (symbol < self.symbols - 1))
+            if len(rare):
+                asked = state[rare].astype(np.int64) * self.symbols + symbol[rare]
+                at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+                to[rare] = np.where(self.keys[at] == asked, self.ends[at], -1)
+        return to
 
 
 class Model:
-    """Suffix automata of the languages over one alphabet; ``plane`` maps code points to symbols."""
+    """Suffix automata of the languages; ``plane`` maps code points to the common alphabet of all samples, however large."""
 
     def __init__(self, samples: dict[str, str]):
         texts = {lang: letters(text) for lang, text in samples.items()}
-        points, counts = np.unique(np.concatenate([*texts.values(), np.zeros(0, np.uint32)]), return_counts=True)
-        common = points[np.lexsort((points, -counts))][:ALPHABET]
-        self.plane = np.full(0x110000, len(common), np.uint8)
-        self.plane[common] = np.arange(len(common))
+        alphabet = np.unique(np.concatenate([*texts.values(), np.zeros(0, np.uint32)]))
+        self.plane = np.full(0x110000, len(alphabet), np.uint32)
+        self.plane[alphabet] = np.arange(len(alphabet))
         self.languages = sorted(texts)
-        self.tables = [suffix_automaton(self.plane[texts[x]], len(common) + 1) for x in self.languages]
+        self.tables = [Table(texts[x], alphabet) for x in self.languages]
 
 
-def phrases(tables: list[np.ndarray], windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Phrases of every window (a row of symbols, ``lengths`` of them used) against every table.
+def phrases(tables: list[Table], windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Phrases of every window (a row of characters of the common alphabet, ``lengths`` of them used) against every table.
 
     A symbol without a transition ends the phrase and starts the next one; where it matches nothing at all it is a
     phrase of its own.
@@ -108,18 +149,15 @@ def phrases(tables: list[np.ndarray], windows: np.ndarray, lengths: np.ndarray)
     alive = len(lengths) - np.searchsorted(lengths[::-1], np.arange(1, windows.shape[0] + 1), "left")
     counts = np.zeros((len(tables), len(lengths)), np.int32)
     for k, table in enumerate(tables):
-        width, dead = table.shape[1], len(table)  # from the added last state every symbol starts a new phrase
-        flat = np.concatenate((table, np.full((1, width), -1, np.int32))).ravel()
-        first = np.where(table[0] < 0, dead, table[0]).astype(np.int32)
-        state, count = first[windows[0]], counts[k]
+        state, count = table.first[table.of[windows[0]]], counts[k]
         for t, n in enumerate(alive.tolist()[1:], 1):
             if not n:
                 break
-            symbol = windows[t, :n]
-            to = flat[state[:n].astype(np.int64) * width + symbol]
+            symbol = table.of[windows[t, :n]]
+            to = table.step(state[:n], symbol)
             miss = to < 0
             count[:n] += miss
-            state[:n] = np.where(miss, first[symbol], to)
+            state[:n] = np.where(miss, table.first[symbol], to)
         count += 1  # the phrase that is open at the end
     out = np.empty_like(counts)
     out[:, order] = counts
@@ -135,7 +173,7 @@ def predict_batch(texts: list[str], model: Model) -> tuple[list[str], np.ndarray
         if not len(points) or (len(points) == 1 and points[0] == 32):
             continue
         n = -(-len(points) // WINDOW)
-        padded = np.zeros(n * WINDOW, np.uint8)
+        padded = np.zeros(n * WINDOW, np.uint32)
         padded[: len(points)] = plane[points]
         rows.append(padded.reshape(n, WINDOW))
         owners.append(np.full(n, i))
@@ -168,18 +206,28 @@ def remainder() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3
 
 
+def spread_spans(text: Column) -> Column:
+    """A text of up to ``SAMPLE_CHARS`` characters, of longer ones that many in ``SPANS`` spans from its start to its end."""
+    size = SAMPLE_CHARS // SPANS
+    start = lambda k: (F.floor((F.length(text) - size) * k / (SPANS - 1)) + 1).cast("int")
+    spans = F.concat_ws(" ", *(F.substring(text, start(k), F.lit(size)) for k in range(SPANS)))
+    return F.when(F.length(text) > SAMPLE_CHARS, spans).otherwise(text)
+
+
 def train(docs: DataFrame) -> Model:
     """Model from ``SAMPLE_DOCS`` documents of every language, the first distinct texts in a hash order.
 
     Rows teach if their doc_id's remainder is not 1 and neither lang nor text is null. Texts of up to 100 characters are
-    taken only where longer ones run out. What comes to the driver is bounded per language.
+    taken only where longer ones run out. What comes to the driver is bounded per language, and no text is shuffled to
+    choose or to fetch it (but the spans of a sample, where there are so many languages that the choice is no small table).
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder() != 1))
     rows = rows.select("lang", "text", (F.length("text") <= 100).alias("short"), F.xxhash64("text").alias("h"))
     order = Window.partitionBy("lang").orderBy("short", "h")
     picked = rows.select("lang", "short", "h").distinct().withColumn("turn", F.row_number().over(order))
-    picked = picked.where(F.col("turn") <= SAMPLE_DOCS).select("lang", "short", "h")
-    chosen = rows.join(picked, ["lang", "short", "h"]).groupBy("lang", "short", "h").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+    picked = cut_lineage(picked.where(F.col("turn") <= SAMPLE_DOCS).select("lang", "short", "h"), "picked")
+    spans = rows.select("lang", "short", "h", spread_spans(F.col("text")).alias("text"))
+    chosen = spans.join(checked_broadcast(picked), ["lang", "short", "h"]).groupBy("lang", "short", "h").agg(F.min("text").alias("text"))
     samples: dict[str, list[str]] = {}
     for row in sorted(chosen.collect(), key=lambda r: (r["lang"], r["short"], r["h"])):
         samples.setdefault(row["lang"], []).append(row["text"])

@@ -2,8 +2,8 @@
 
 Base spans come from three patterns. The method then looks at every value that stands in a credential context (a wider
 set of names than the base pattern has, and the password part of a URL) and works out how many guesses it would take:
-the cheapest segmentation into common words (fixed ones and the most frequent words of the table), dates, repeats, keyboard walks, sequences and brute-force spans, found by
-dynamic programming. Values that take ``LEAST_GUESSES`` or more are spans of kind ``guess``; cheap ones such as
+the cheapest segmentation into common words (fixed ones and the most frequent words of the table), marks, dates, repeats,
+keyboard walks, sequences and brute-force spans, found by dynamic programming over the whole value. Values that take ``LEAST_GUESSES`` or more are spans of kind ``guess``; cheap ones such as
 ``password=changeme`` are placeholders and add none.
 """
 
@@ -32,14 +32,20 @@ CONTEXT = re.compile(
     r"""(?:(?:pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|bearer|api[_-]?key|(?:private|access|client|auth|signing|secret|encryption|session)[_-]?(?:access[_-]?)?(?:key|token|secret))"""
     r"""["']?\x20*(?:[:=]\x20*|\bis\x20)|authorization["']?\x20*[:=]\x20*["']?(?:bearer|basic|token)\x20+)"""
     r"""(?:"(?P<double>[^\s"]+)|'(?P<single>[^\s']+)|(?P<bare>[^\s"']\S*))"""
-    r"""|[a-z][a-z0-9+.-]{1,15}://[^\s:/@"']{0,256}:(?P<url>[^\s/"'<>]+)@""",
+    r"""|(?<![a-z0-9+.-])[0-9+.-]*[a-z][a-z0-9+.-]*://[^\s:/@"']*:(?P<url>[^\s/"'<>]+)@""",
     re.I | re.A,
 )
 CONTEXT_HINT = re.compile(r"[:=]|\bis ", re.A)
 
 LEAST_GUESSES = 1e8
-#: Values are split at this length; each part is priced by itself, so a long value costs time in proportion.
-PART = 64
+#: A value in prose ("the token is well-established") has letters, hyphens and closing marks only.
+PROSE = re.compile(r"""[^\W\d_]+(?:['’-][^\W\d_]+)*[.,;:!?)\]"'*]*""")
+BEFORE_PROSE = re.compile(r"""\bis\x20["']?\Z""", re.I | re.A)
+#: An address without a user's part, and what stands between its pieces.
+ADDRESS = re.compile(r"(?:https?|ftp)://[^\s@]+", re.I | re.A)
+PIECES = re.compile(r"[/?&=.,:;#)+-]+|%[0-9A-Fa-f]{2}")
+#: Marks between the parts of a value, and log10 of the guesses for one of them.
+MARKS, MARK_COST = "-_./, ", 0.8
 
 #: Common words of passwords and placeholders, most common first (fixed values).
 WORDS = (
@@ -83,6 +89,8 @@ def _segments(text: str, rank_of: dict[str, int] = RANK) -> Iterator[tuple[int,
                     upper = 0.0 if text[i:j].islower() or not any(c.isupper() for c in text[i:j]) else 0.5
                     yield i, j, math.log10(rank) + extra + upper
                     break
+        if text[i] in MARKS:
+            yield i, i + 1, MARK_COST
         if (m := DATE.match(text, i)) is not None:
             yield i, m.end(), 2.1 if m.end() - i == 4 else 4.6
     for start, same in ((0, _repeats), (0, _walk), (0, _sequence)):
@@ -117,21 +125,18 @@ def _sequence(text: str, i: int) -> bool:
 
 
 def guess_cost(value: str, rank_of: dict[str, int] = RANK) -> float:
-    """log10 of the guesses that the cheapest segmentation takes; 0 for an empty value.
+    """log10 of the guesses that the cheapest segmentation of the whole value takes; 0 for an empty value.
 
     A segmentation costs the sum over its segments and the log of the orders of its segments; characters outside cheap
-    segments cost log10 of the value's character set each. The dynamic program keeps the best cost by end.
+    segments cost log10 of the value's character set each. The dynamic program keeps the best cost by end, in time
+    proportional to the value's length.
     """
-    return sum(_part_cost(value[i : i + PART], rank_of) for i in range(0, len(value), PART))
-
-
-def _part_cost(text: str, rank_of: dict[str, int]) -> float:
-    ends: list[list[tuple[int, float]]] = [[] for _ in range(len(text) + 1)]
-    for i, j, cost in _segments(text, rank_of):
+    ends: list[list[tuple[int, float]]] = [[] for _ in range(len(value) + 1)]
+    for i, j, cost in _segments(value, rank_of):
         ends[j].append((i, cost))
-    brute = math.log10(_charset(text))
-    best = [0.0] * (len(text) + 1)
-    for j in range(1, len(text) + 1):
+    brute = math.log10(_charset(value))
+    best = [0.0] * (len(value) + 1)
+    for j in range(1, len(value) + 1):
         best[j] = min([best[j - 1] + brute, *(best[i] + cost + 0.3 for i, cost in ends[j])])
     return best[-1]
 
@@ -150,11 +155,23 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def guessed_spans(text: str, rank_of: dict[str, int] = RANK) -> list[tuple[int, int, str]]:
-    """Values in a credential context that are costly to guess."""
+    """Values in a credential context that are costly to guess.
+
+    After "is" a value of letters and hyphens alone is prose and no credential. An address without a user's part is priced by
+    its costliest piece, so only one that carries a key counts.
+    """
     if not CONTEXT_HINT.search(text):
         return []
-    found = [m.span(m.lastgroup) for m in CONTEXT.finditer(text)]
-    return [(a, b, "guess") for a, b in found if guess_cost(text[a:b], rank_of) >= math.log10(LEAST_GUESSES)]
+    found = []
+    for m in CONTEXT.finditer(text):
+        a, b = m.span(m.lastgroup)
+        value = text[a:b]
+        if PROSE.fullmatch(value) and BEFORE_PROSE.search(text, max(0, a - 5), a):
+            continue
+        pieces = PIECES.split(value) if ADDRESS.fullmatch(value) else [value]
+        if max(guess_cost(p, rank_of) for p in pieces) >= math.log10(LEAST_GUESSES):
+            found.append((a, b, "guess"))
+    return found
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
