@@ -49,9 +49,10 @@ def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats every document as often as the mixture takes it; documents without words stay once."""
+    """Repeats every document as often as the mixture takes it; documents without words, and rows without a doc_id, stay once."""
     mixed = mixing.mix(docs).where("size > 0").groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
-    rows = docs.select(COLUMNS).join(mixed, "doc_id", "left")
+    # Both sides grow with the corpus, so the join is a shuffle at every size.
+    rows = docs.select(COLUMNS).join(mixed.hint("merge"), "doc_id", "left")
     times = F.when(mixing.word_count() == 0, 1).otherwise(F.coalesce("_times", F.lit(1)))
     return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(COLUMNS)
 
