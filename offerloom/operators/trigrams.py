@@ -60,19 +60,28 @@ def runs_with(words: DataFrame, index: GramIndex) -> DataFrame:
     return found.unionByName(single)
 
 
-def match_parts(queries: DataFrame, index: GramIndex) -> DataFrame:
-    """(query_id, name) where the name holds every one of the query's ``tokens`` somewhere, in any order.
+def match_any_parts(queries: DataFrame, index: GramIndex) -> DataFrame:
+    """(query_id, name) where the name holds, for every one of the query's ``choices``, at least one of its texts.
 
-    Letter case is ignored. Queries without tokens match nothing; null and empty tokens are passed over.
+    ``choices`` is an array of arrays. Letter case is ignored; null and empty texts are passed over, and so are choices without
+    a text. A query without choices matches nothing. A text with spaces is looked up by its longest word and then compared whole.
     """
-    clean = F.array_distinct(F.filter(F.transform("tokens", F.lower), lambda w: F.coalesce(w != "", F.lit(False))))
-    asked = cut_lineage(queries.select("query_id", clean.alias("tokens")).where(F.size("tokens") > 0), "part-queries")
-    words = asked.select(F.explode("tokens").alias("word")).distinct()
-    runs = cut_lineage(runs_with(words, index), "part-runs")
-    spread = runs.groupBy("word").agg(F.sum("n_names").alias("n"))
-    each = asked.select("query_id", "tokens", F.explode("tokens").alias("word")).join(spread, "word", "left")
-    least = each.groupBy("query_id", "tokens").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r"))
-    lead = least.where("r.n > 0").select("query_id", "tokens", F.col("r.word").alias("word"))
-    near = lead.join(runs.select("word", "run"), "word").join(index.postings, "run").select("query_id", "tokens", "name_id").distinct()
-    held = near.join(index.names, "name_id").where(F.forall("tokens", lambda w: F.contains(F.col("low"), w)))
-    return held.select("query_id", "name")
+    clean = lambda texts: F.array_distinct(F.filter(F.transform(texts, F.lower), lambda w: F.coalesce(F.trim(w) != "", F.lit(False))))
+    choices = F.filter(F.transform("choices", clean), lambda c: F.size(c) > 0)
+    asked = cut_lineage(queries.select("query_id", F.array_distinct(choices).alias("choices")).where(F.size("choices") > 0), "part-queries")
+    # The longest space-free piece of a text, the first of equals.
+    piece = F.reduce(F.split(F.col("text"), r"\s+"), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    spread = asked.select("query_id", F.posexplode("choices").alias("choice", "texts")).select("query_id", "choice", F.explode("texts").alias("text")).withColumn("word", piece)
+    runs = cut_lineage(runs_with(spread.select("word").distinct(), index), "part-runs")
+    counts = runs.groupBy("word").agg(F.sum("n_names").alias("n"))
+    each = spread.join(counts, "word", "left").groupBy("query_id", "choice").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    lead = each.groupBy("query_id").agg(F.min(F.struct("n", "choice")).alias("r")).where("r.n > 0").select("query_id", F.col("r.choice").alias("choice"))
+    near = lead.join(spread, ["query_id", "choice"]).join(runs.select("word", "run"), "word").join(index.postings, "run").select("query_id", "name_id").distinct()
+    held = near.join(index.names, "name_id").join(asked, "query_id")
+    fits = F.forall("choices", lambda texts: F.exists(texts, lambda w: F.contains(F.col("low"), w)))
+    return held.where(fits).select("query_id", "name")
+
+
+def match_parts(queries: DataFrame, index: GramIndex) -> DataFrame:
+    """(query_id, name) where the name holds every one of the query's ``tokens`` somewhere, in any order; see ``match_any_parts``."""
+    return match_any_parts(queries.select("query_id", F.transform("tokens", lambda w: F.array(w)).alias("choices")), index)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions.text import lemmas, query_words, search_tokens, short_stem
 from offerloom.operators.cells import top_k
-from offerloom.operators.trigrams import gram_index, match_parts
+from offerloom.operators.trigrams import gram_index, match_any_parts, match_parts
 from offerloom.plans import derive as d
 from offerloom.plans.catalog import sellable
 from offerloom.session import cut_lineage
@@ -57,6 +57,39 @@ def expand_synonyms(queries: DataFrame, groups: list[list[str]]) -> DataFrame:
     return flat.groupBy("query_id").agg(F.collect_set(F.coalesce("canonical", "token")).alias("tokens"))
 
 
+SHORTEST_PREFIX, SHORTEST_SYNONYM = 3, 4
+
+
+def synonym_table(spark: SparkSession, groups: list[list[str]]) -> DataFrame:
+    """word, words of its group, and its place in the dictionary; a word in several groups is of the last and keeps its first place."""
+    rows: dict[str, tuple[list[str], int]] = {}
+    for group in groups:
+        for word in group:
+            rows[word.lower()] = ([w.lower() for w in group], rows[word.lower()][1] if word.lower() in rows else len(rows))
+    return spark.createDataFrame([(w, g, k) for w, (g, k) in rows.items()], "word string, words array<string>, ord int")
+
+
+def synonym_choices(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """query_id, choices: for each token the texts that may stand for it.
+
+    A token's group is that of the same word, else of the first word in the dictionary that the token starts or that starts the
+    token, with three letters at least. Synonyms of four letters and more count, and the token itself from three letters on.
+    """
+    tokens = queries.select(F.explode("tokens").alias("token")).distinct().where("token is not null")
+    exact = tokens.join(synonyms.withColumnRenamed("word", "token"), "token").select("token", F.lit(0).alias("tier"), "ord", "words")
+    cuts = lambda c: F.transform(F.sequence(F.lit(SHORTEST_PREFIX), F.greatest(F.length(c), F.lit(SHORTEST_PREFIX))), lambda n: F.substring(c, F.lit(1), n))
+    starts = synonyms.where(F.length("word") >= SHORTEST_PREFIX).select(F.explode(cuts(F.col("word"))).alias("token"), "ord", "words")
+    typed = tokens.join(starts, "token").select("token", F.lit(1).alias("tier"), "ord", "words")
+    longer = tokens.where(F.length("token") >= SHORTEST_PREFIX).select("token", F.explode(cuts(F.col("token"))).alias("word")).join(synonyms, "word")
+    found = exact.unionByName(typed).unionByName(longer.select("token", F.lit(1).alias("tier"), "ord", "words"))
+    group = found.groupBy("token").agg(F.min_by("words", F.struct("tier", "ord")).alias("words"))
+    known = F.filter(F.coalesce("words", F.array().cast("array<string>")), lambda w: F.length(w) >= SHORTEST_SYNONYM)
+    own = F.when(F.length("token") >= SHORTEST_PREFIX, F.array("token")).otherwise(F.array().cast("array<string>"))
+    texts = tokens.join(group, "token", "left").select("token", F.array_distinct(F.concat(known, own)).alias("texts"))
+    spread = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("token")).join(texts, "token")
+    return spread.groupBy("query_id").agg(F.collect_list("texts").alias("choices"))
+
+
 def complete(token: Column) -> Column:
     """A word the user has finished: six letters, or five whose stem is shorter."""
     return (F.length(token) >= 6) | ((F.length(token) >= 5) & (short_stem(token) != token))
@@ -66,7 +99,7 @@ def search(queries: DataFrame, names: DataFrame, groups: list[list[str]]) -> Dat
     """(query_id, name) by the plan of each query.
 
     One word: lemma match when it is complete, and in any case word-start match. Several words: all lemmas, all
-    canonical synonyms, or all words as parts of the name in any order; with an unfinished last word, also the other lemmas plus its prefix.
+    words or their synonyms as parts of the name, or all words as parts in any order; with an unfinished last word, also the other lemmas plus its prefix.
     """
     # Both are read by every branch below, so they are written once.
     q = queries.withColumn("tokens", query_words(F.col("query"))).filter(F.size("tokens") > 0)
@@ -74,15 +107,13 @@ def search(queries: DataFrame, names: DataFrame, groups: list[list[str]]) -> Dat
     q = cut_lineage(q.withColumn("done", complete(F.col("last"))), "search-queries")
     words = cut_lineage(name_index(names, name_words(F.col("name"))), "search-words")
     stems = words.select("name", short_stem(F.col("token")).alias("token")).distinct()
-    canonical = {w: g[0] for g in groups for w in g}
-    pairs = F.create_map(*[F.lit(x) for kv in canonical.items() for x in kv])
-    canon = words.select("name", F.coalesce(F.element_at(pairs, F.col("token")), F.col("token")).alias("token")).distinct()
+    grams = gram_index(names)
 
     one, many = q.filter("n = 1"), q.filter("n > 1")
     by_lemma = match_all(q.filter("n > 1 OR done").select("query_id", F.col("lemma").alias("tokens")), stems)
     by_start = match_prefix(one.select("query_id", F.col("last").alias("prefix")), words)
-    by_synonym = match_all(expand_synonyms(many, groups), canon)
-    by_part = match_parts(many.select("query_id", "tokens"), gram_index(names))
+    by_synonym = match_any_parts(synonym_choices(many, synonym_table(names.sparkSession, groups)), grams)
+    by_part = match_parts(many.select("query_id", "tokens"), grams)
     open_end = many.filter("NOT done").withColumn("head", lemmas(F.slice("tokens", 1, F.size("tokens") - 1)))
     by_head = match_all(open_end.select("query_id", F.col("head").alias("tokens")), stems)
     by_tail = match_prefix(open_end.select("query_id", F.col("last").alias("prefix")), words)
@@ -142,6 +173,8 @@ QUERY_SHAPES = """
 """
 
 
+# Words cut to their first four letters, and words with an ending.
+CUT_QUERY = "replace(replace(replace(query, 'scarlet', 'scar'), 'crimson', 'crim'), 'ring', 'rings')"
 # Pieces of words in another order than in the names, down to one letter.
 PART_SHAPES = """
   SELECT DISTINCT p_name || '#mid' AS query_id, substr(split_part(p_name, ' ', 2), 2, 3) || ' ' || substr(p_name, 1, 2) AS query FROM part
@@ -202,6 +235,14 @@ def q_synonym_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("query_id").agg(F.count("*").alias("n_names"), F.min("name").alias("first_name"))
 
 
+def q_synonym_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Names that hold each word of a query or a synonym of it as a part; half of the words are typed in part or too long."""
+    asked = query_table(spark, sf).unionByName(query_table(spark, sf).select(F.concat("query_id", F.lit("#cut")).alias("query_id"), F.expr(CUT_QUERY).alias("query")))
+    choices = synonym_choices(asked.select("query_id", query_words(F.col("query")).alias("tokens")), synonym_table(spark, SYNONYMS))
+    found = match_any_parts(choices, gram_index(_names(spark, sf)))
+    return found.groupBy("query_id").agg(F.count("*").alias("n_names"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
+
+
 def q_prefix_search(spark: SparkSession, sf: str) -> DataFrame:
     words = name_index(_names(spark, sf), name_words(F.col("name")))
     asked = query_table(spark, sf).select("query_id", F.element_at(query_words(F.col("query")), -1).alias("prefix"))
@@ -246,6 +287,7 @@ QUERIES = {
     "lemma_search": q_lemma_search,
     "synonym_search": q_synonym_search,
     "prefix_search": q_prefix_search,
+    "synonym_parts": q_synonym_parts,
     "substring_search": q_substring_search,
     "catalog_search": q_search,
     "search_rank": q_rank,
@@ -273,18 +315,33 @@ _Q = f"""q0 AS ({QUERY_SHAPES}), q AS (SELECT query_id, query, {_duck_words('que
  , nw AS (SELECT name, unnest(words) AS w FROM nm), qw AS (SELECT query_id, len(list_distinct(toks)) AS n, toks[-1] AS last, unnest(list_distinct(toks)) AS w FROM q)"""
 _SYN = "CASE " + " ".join(f"WHEN {{0}} IN ({', '.join(chr(39) + w + chr(39) for w in g)}) THEN '{g[0]}'" for g in SYNONYMS) + " ELSE {0} END"
 # Every token of the test names is Latin or a number, which no ending of the stem list fits, so stems equal words here.
+_KEYS = ", ".join(f"('{w}', [{', '.join(chr(39) + x + chr(39) for x in g)}], {k})" for k, (w, g) in enumerate((w, g) for g in SYNONYMS for w in g))
+
+
+def _duck_choices(tokens: str) -> str:
+    """Tokens (query_id, w) of a table with the texts that may stand for each."""
+    return f"""kv(word, words, ord) AS (VALUES {_KEYS}), tk AS (SELECT DISTINCT query_id, w FROM {tokens})
+ , grp AS (SELECT w, arg_min(words, (CASE WHEN word = w THEN 0 ELSE 1 END, ord)) AS words FROM (SELECT DISTINCT w FROM tk) JOIN kv
+     ON word = w OR (len(w) >= 3 AND starts_with(word, w)) OR (len(word) >= 3 AND starts_with(w, word)) GROUP BY 1)
+ , alt AS (SELECT query_id, w, list_concat(list_filter(coalesce(words, []), lambda x: len(x) >= 4), CASE WHEN len(w) >= 3 THEN [w] ELSE [] END) AS alts FROM tk LEFT JOIN grp USING (w))
+ , need AS (SELECT query_id, count(*) AS k FROM alt WHERE len(alts) > 0 GROUP BY 1)
+ , hit AS (SELECT query_id, name, count(*) AS h FROM alt JOIN nm ON len(list_filter(alts, lambda x: contains(lower(name), x))) > 0 GROUP BY 1, 2)
+ , syn_of AS (SELECT query_id, name FROM hit JOIN need USING (query_id) WHERE h = k)"""
+
+
 _MATCH = f"""{_Q}
  , allw AS (SELECT query_id, name FROM qw JOIN nw USING (w) GROUP BY query_id, name, n HAVING count(*) = n)
  , syn AS (SELECT query_id, name FROM (SELECT DISTINCT query_id, {_SYN.format('w')} AS w FROM qw) a JOIN (SELECT DISTINCT name, {_SYN.format('w')} AS w FROM nw) b USING (w)
      JOIN (SELECT query_id, count(DISTINCT {_SYN.format('w')}) AS m FROM qw GROUP BY 1) USING (query_id) GROUP BY query_id, name, m HAVING count(*) = m)
  , pre AS (SELECT DISTINCT query_id, name FROM (SELECT DISTINCT query_id, last FROM qw) JOIN nw ON starts_with(w, last))"""
 _SEARCH = f"""{_MATCH}
+ , {_duck_choices('qw')}
  , meta AS (SELECT DISTINCT query_id, len(toks) AS n, toks[-1] AS last, len(toks[-1]) >= 6 AS done, toks FROM q WHERE len(toks) > 0)
  , part_of AS (SELECT query_id, name FROM meta, nm WHERE n > 1 AND len(list_filter(toks, lambda w: contains(lower(name), w))) = n)
  , head AS (SELECT query_id, name FROM (SELECT query_id, unnest(toks[1:n - 1]) AS w, n - 1 AS k FROM meta WHERE n > 1 AND NOT done) JOIN nw USING (w) GROUP BY query_id, name, k HAVING count(*) = k)
  , found AS (SELECT query_id, name FROM allw JOIN meta USING (query_id) WHERE meta.n > 1 OR done UNION SELECT query_id, name FROM pre JOIN meta USING (query_id) WHERE meta.n = 1
      UNION SELECT query_id, name FROM part_of
-     UNION SELECT query_id, name FROM syn JOIN meta USING (query_id) WHERE meta.n > 1
+     UNION SELECT query_id, name FROM syn_of JOIN meta USING (query_id) WHERE meta.n > 1
      UNION SELECT query_id, name FROM head JOIN pre USING (query_id, name))"""
 _AGG = "SELECT query_id, count(*) AS n_names, min(name) AS first_name FROM {} GROUP BY 1"
 _SEARCH_STOP = ", ".join(f"'{w}'" for w in SEARCH_STOPWORDS)
@@ -308,6 +365,9 @@ ORACLE = {
     "lemma_search": f"WITH {d.CTE_ITEMS}, {_MATCH} " + _AGG.format("allw"),
     "synonym_search": f"WITH {d.CTE_ITEMS}, {_MATCH} " + _AGG.format("syn"),
     "prefix_search": f"WITH {d.CTE_ITEMS}, {_MATCH} " + _AGG.format("pre"),
+    "synonym_parts": f"""WITH {d.CTE_ITEMS}, q0 AS ({QUERY_SHAPES} UNION ALL SELECT query_id || '#cut', {CUT_QUERY} FROM ({QUERY_SHAPES}))
+      , nm AS (SELECT DISTINCT name_raw AS name FROM items), qw AS (SELECT query_id, unnest({_duck_words('query')}) AS w FROM q0), {_duck_choices('qw')}
+      SELECT query_id, count(*) AS n_names, min(name) AS first_name, max(name) AS last_name FROM syn_of GROUP BY 1""",
     "substring_search": f"""WITH {d.CTE_ITEMS}, q AS ({PART_SHAPES}), nm AS (SELECT DISTINCT name_raw AS name FROM items)
       SELECT query_id, count(*) AS n_names, min(name) AS first_name, max(name) AS last_name FROM q, nm
       WHERE len(list_filter(string_split(query, ' '), lambda w: NOT contains(lower(name), lower(w)))) = 0 GROUP BY 1""",
