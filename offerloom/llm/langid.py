@@ -25,8 +25,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, SPANS = 24, 1_000, 4
 #: Characters of a language whose transitions lie in a dense table, the most frequent ones of its sample; those of all others lie
 #: in a sorted list. That changes the time of a step and no result.
 DENSE = 63
-#: Rows that a worker takes at once.
-BATCH_ROWS = 2_000
+#: Rows that a worker takes at once, and characters that are parsed at once (a longer text is parsed alone).
+BATCH_ROWS, BATCH_CHARS = 2_000, 500_000
 NO_LANGUAGE = "und"
 
 
@@ -132,7 +132,7 @@ class Model:
     def __init__(self, samples: dict[str, str]):
         texts = {lang: letters(text) for lang, text in samples.items()}
         alphabet = np.unique(np.concatenate([*texts.values(), np.zeros(0, np.uint32)]))
-        self.plane = np.full(0x110000, len(alphabet), np.uint32)
+        self.plane = np.full(0x110000, len(alphabet), np.uint16 if len(alphabet) < 1 << 16 else np.uint32)
         self.plane[alphabet] = np.arange(len(alphabet))
         self.languages = sorted(texts)
         self.tables = [Table(texts[x], alphabet) for x in self.languages]
@@ -166,6 +166,20 @@ def phrases(tables: list[Table], windows: np.ndarray, lengths: np.ndarray) -> np
 
 def predict_batch(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
     """Language and score of every text."""
+    names, scores, begin = [], [np.zeros(0)], 0
+    while begin < len(texts):
+        end, chars = begin + 1, len(texts[begin])
+        while end < len(texts) and chars + len(texts[end]) <= BATCH_CHARS:
+            chars += len(texts[end])
+            end += 1
+        found, score = _predict(texts[begin:end], model)
+        names += found
+        scores.append(score)
+        begin = end
+    return names, np.concatenate(scores)
+
+
+def _predict(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
     languages, tables, plane = model.languages, model.tables, model.plane
     rows, owners, lengths = [], [], []
     for i, text in enumerate(texts):
@@ -173,7 +187,7 @@ def predict_batch(texts: list[str], model: Model) -> tuple[list[str], np.ndarray
         if not len(points) or (len(points) == 1 and points[0] == 32):
             continue
         n = -(-len(points) // WINDOW)
-        padded = np.zeros(n * WINDOW, np.uint32)
+        padded = np.zeros(n * WINDOW, plane.dtype)
         padded[: len(points)] = plane[points]
         rows.append(padded.reshape(n, WINDOW))
         owners.append(np.full(n, i))
