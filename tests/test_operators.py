@@ -13,6 +13,7 @@ from offerloom.operators.running import sum_before
 from offerloom.operators.tokensets import overlapping
 from offerloom.session import fresh_dir
 from offerloom.sources import feeds
+from offerloom.operators.offerstore import OfferStore
 from offerloom.streaming import jobs
 
 
@@ -129,12 +130,16 @@ def test_streams_over_several_batches(spark):
 
 def test_stream_import_by_files(spark):
     base = fresh_dir(spark, "test-import")
-    spark.createDataFrame([], "unique_key string, supplier_id bigint, article string, name_raw string, unit_type string, price double, price_list_id string, active boolean").write.parquet(f"{base}/first")
-    spark.createDataFrame([(1, 1, "10", "Соль", "кг", "20")], RAW).coalesce(1).write.parquet(f"{base}/in")
-    spark.createDataFrame([(2, 1, "7", "Рис", "кг", "50")], RAW).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    raw = spark.readStream.schema(RAW).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    jobs.import_stream(raw, f"{base}/first", f"{base}/out", f"{base}/log", "v").awaitTermination()
-    got = {(r.unique_key, r.price, r.active) for r in jobs.newest_version(spark, f"{base}/out").collect()}
+    first = "unique_key string, supplier_id bigint, article string, name_raw string, unit_type string, price double, price_list_id string, active boolean, list_no int, row_no int"
+    store = OfferStore(f"{base}/store", buckets=2)
+    store.create(spark.createDataFrame([], first))
+    listed = lambda rows: spark.createDataFrame(rows, RAW).withColumns({"price_list_id": F.lit("v"), "list_no": F.lit(2)})
+    one = listed([(1, 1, "10", "Соль", "кг", "20")])
+    one.coalesce(1).write.parquet(f"{base}/in")
+    listed([(2, 1, "7", "Рис", "кг", "50")]).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    raw = spark.readStream.schema(one.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    jobs.import_stream(raw, store, f"{base}/log").awaitTermination()
+    got = {(r.unique_key, r.price, r.active) for r in store.read(spark).collect()}
     assert got == {("1:10", 20.0, True), ("2:7", 50.0, True)}
 
 
