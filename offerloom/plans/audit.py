@@ -101,14 +101,14 @@ def q_audit_suite(spark: SparkSession, sf: str) -> DataFrame:
     return write_audit(offers, fresh_dir(spark, "audit"), TEST_CHECKS, TEST_THRESHOLDS)
 
 
-def q_audit_issues(spark: SparkSession, sf: str) -> DataFrame:
+def q_audit_alerts(spark: SparkSession, sf: str) -> DataFrame:
     """The issues as a reader of the CSV file gets them."""
     path = fresh_dir(spark, "audit")
     found = write_audit(damaged(d.offers(spark, sf, geo=True)), path, TEST_CHECKS, TEST_THRESHOLDS)
     return spark.read.schema(found.schema).option("header", True).csv(f"{path}/issues")
 
 
-QUERIES = {"audit_suite": q_audit_suite, "audit_issues": q_audit_issues}
+QUERIES = {"audit_suite": q_audit_suite, "audit_alerts": q_audit_alerts}
 
 
 def _contains(words: Sequence[str]) -> str:
@@ -136,4 +136,4 @@ _AUDIT = f"""WITH {d.CTE_OFFERS}
       count(*) AS n_active, {', '.join(f"count(*) FILTER (WHERE {test}) AS {m}" for m, test in _COUNTS.items())}
       FROM dam WHERE active GROUP BY GROUPING SETS ((), (super_class), (supplier_id), (origin_country)))
   , v AS ({_VALUES}), s AS (SELECT *, CASE {_MISSED} END AS severity FROM v)"""
-ORACLE = {"audit_suite": _AUDIT + " SELECT * FROM s", "audit_issues": _AUDIT + " SELECT * FROM s WHERE severity IS NOT NULL"}
+ORACLE = {"audit_suite": _AUDIT + " SELECT * FROM s", "audit_alerts": _AUDIT + " SELECT * FROM s WHERE severity IS NOT NULL"}
