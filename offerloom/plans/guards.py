@@ -304,3 +304,30 @@ ORACLE = {
       , m AS (SELECT super_class, price, CASE WHEN b1 = offer_id THEN p2 ELSE p1 END AS mp FROM offers LEFT JOIN two ON ap = l_partkey)
       SELECT super_class, CASE WHEN mp IS NULL THEN 'no_match' WHEN price / mp > {PREMIUM_RATIO} THEN 'suspicious_price' ELSE 'ok' END AS outcome, count(*) AS n, count(mp) AS n_matched FROM m GROUP BY 1, 2""",
 }
+
+
+def _line_sql(match: str, word: str | None, scope: str | None) -> str:
+    """One line of a rule on a row with low, pad, the groups, super_class and price."""
+    if match == "feature":
+        kind, value = word.split("=", 1)
+        return {"group": f"is_{value}", "class": f"super_class = '{value}'", "under": f"price < {FLOOR_SHARE * _FLOORS.get(value, 0.0)}"}[kind]
+    tests = [] if word is None else [f"contains(pad, ' {word} ')" if match == "token" else f"contains(low, '{word}')"]
+    tests += [] if scope is None else [f"super_class LIKE '{scope[:-1]}%'" if scope.endswith("*") else f"super_class = '{scope}'"]
+    return "(" + " AND ".join(tests) + ")"
+
+
+def _usage_sql() -> str:
+    rules: dict[tuple[str, str], dict[str, list]] = {}
+    for name, _, reason, side, negated, match, word, scope in [*fixed_rules(), *test_rules()]:
+        rules.setdefault((name, reason), {}).setdefault(side, [negated]).append(_line_sql(match, word, scope))
+    side = lambda lines: ("NOT " if lines[0] else "") + "coalesce(" + _any(list(dict.fromkeys(lines[1:]))) + ", false)"
+    counts = [
+        f"SELECT '{name}' AS rule_id, '{reason}' AS reason, count(*) FILTER (WHERE {side(s['ask'])}) AS n_ask, count(*) FILTER (WHERE active AND {side(s['show'])}) AS n_show FROM r"
+        for (name, reason), s in rules.items()
+    ]
+    for kind, reason in (("fat", "FAT_MISMATCH"), ("grade", "GRADE_MISMATCH"), ("size", "SIZE_MISMATCH")):
+        counts.append(f"SELECT 'exact {kind}=' || v, '{reason}', (SELECT count(*) FROM r WHERE {kind} = v), (SELECT count(*) FROM r WHERE active AND {kind} IS DISTINCT FROM v) FROM (SELECT DISTINCT {kind} AS v FROM itm WHERE {kind} IS NOT NULL)")
+    return _GUARD + "\n, r AS MATERIALIZED (SELECT itm.*, fl.price, fl.active FROM fl JOIN itm USING (l_partkey))\n" + "\nUNION ALL ".join(counts)
+
+
+ORACLE["guard_rules"] = _usage_sql()

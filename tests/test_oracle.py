@@ -23,3 +23,11 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_names_are_unique():
+    from importlib import import_module
+
+    names = [n for m in entry._modules() for n in m.QUERIES]
+    assert len(names) == len(set(names)) and set(entry.oracle_sql()) <= set(names)
+    assert import_module("offerloom.plans.guards").ORACLE.keys() == import_module("offerloom.plans.guards").QUERIES.keys()
