@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offerloom.llm.workers import tidy
+
 #: Folded pieces that a worker keeps before it starts again with none.
 KEPT_PIECES = 100_000
 #: Pieces up to so many bytes are folded by a plain scan, longer ones with a heap.
@@ -138,7 +140,7 @@ def token_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
         yield from encode_batches(batches, shared.value)
 
     return docs.select(F.col("doc_id").cast("bigint"), pieces.alias("pieces")).mapInArrow(
-        run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        tidy(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     )
 
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerloom.llm.workers import tidy
 from offerloom.session import checked_broadcast, cut_lineage
 
 WINDOW = 256
@@ -278,4 +279,4 @@ def with_language(docs: DataFrame, shared) -> DataFrame:
             at = batch.schema.get_field_index("lang")
             yield batch.set_column(at, batch.schema.field(at), pa.array(names, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

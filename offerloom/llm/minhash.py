@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.llm.graph import components
+from offerloom.llm.workers import tidy
 from offerloom.session import checked_broadcast, cut_lineage
 
 MASK = (1 << 64) - 1
@@ -166,7 +167,7 @@ def sketches(docs: DataFrame, how: MinHash) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, one bigint, two bigint, keys array<bigint>"
+        tidy(run), "doc_id bigint, n_shingles bigint, one bigint, two bigint, keys array<bigint>"
     )
 
 
@@ -179,7 +180,7 @@ def full_sets(docs: DataFrame, how: MinHash) -> DataFrame:
             sets = [s.view(np.int64) for part in shingle_sets(batch.column("text"), how.words) for s in part]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "id bigint, shingles array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(tidy(run), "id bigint, shingles array<bigint>")
 
 
 def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:

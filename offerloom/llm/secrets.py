@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.llm.langid import small
+from offerloom.llm.workers import tidy
 
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -203,7 +204,7 @@ def scan(docs: DataFrame) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_guess bigint"
+        tidy(run), "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_guess bigint"
     )
 
 
@@ -220,7 +221,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             texts = [None if text is None else _replaced(text, mark, ranks.value) for text in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def _replaced(text: str, mark: str, rank_of: dict[str, int]) -> str:
