@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offerloom.llm.langid import small
 from offerloom.llm.workers import tidy
 
 #: Folded pieces that a worker keeps before it starts again with none.
@@ -137,7 +138,7 @@ def token_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
-        yield from encode_batches(batches, shared.value)
+        yield from encode_batches(small(batches), shared.value)
 
     return docs.select(F.col("doc_id").cast("bigint"), pieces.alias("pieces")).mapInArrow(
         tidy(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
