@@ -32,6 +32,27 @@ SHORT = 40
 #: Slots of the rank map (a power of two) and the factors of its two hash functions.
 SLOTS, HASHES = 1 << 18, ((40_503, 1), (92_821, 7_919))
 NO_MERGE = 2_147_483_647
+#: Letters and numbers of Unicode 14 to 16. The tokenizer's library knows them, the JVM's patterns (Unicode 13 in Java 17) do not.
+NEWER_LETTERS = (
+    r"\x{870}-\x{887}\x{889}-\x{88E}\x{8B5}\x{8C8}-\x{8C9}\x{C5D}\x{CDD}\x{170D}\x{171F}\x{1B4C}"
+    r"\x{1C89}-\x{1C8A}\x{2C2F}\x{2C5F}\x{9FFD}-\x{9FFF}\x{A7C0}-\x{A7C1}\x{A7CB}-\x{A7CD}\x{A7D0}-\x{A7D1}"
+    r"\x{A7D3}\x{A7D5}-\x{A7DC}\x{A7F2}-\x{A7F4}\x{10570}-\x{1057A}\x{1057C}-\x{1058A}\x{1058C}-\x{10592}"
+    r"\x{10594}-\x{10595}\x{10597}-\x{105A1}\x{105A3}-\x{105B1}\x{105B3}-\x{105B9}\x{105BB}-\x{105BC}"
+    r"\x{105C0}-\x{105F3}\x{10780}-\x{10785}\x{10787}-\x{107B0}\x{107B2}-\x{107BA}\x{10D4A}-\x{10D65}"
+    r"\x{10D6F}-\x{10D85}\x{10EC2}-\x{10EC4}\x{10F70}-\x{10F81}\x{11071}-\x{11072}\x{11075}\x{1123F}-\x{11240}"
+    r"\x{11380}-\x{11389}\x{1138B}\x{1138E}\x{11390}-\x{113B5}\x{113B7}\x{113D1}\x{113D3}\x{11740}-\x{11746}"
+    r"\x{11AB0}-\x{11ABF}\x{11BC0}-\x{11BE0}\x{11F02}\x{11F04}-\x{11F10}\x{11F12}-\x{11F33}\x{12F90}-\x{12FF0}"
+    r"\x{1342F}\x{13441}-\x{13446}\x{13460}-\x{143FA}\x{16100}-\x{1611D}\x{16A70}-\x{16ABE}\x{16D40}-\x{16D6C}"
+    r"\x{18CFF}\x{1AFF0}-\x{1AFF3}\x{1AFF5}-\x{1AFFB}\x{1AFFD}-\x{1AFFE}\x{1B11F}-\x{1B122}\x{1B132}\x{1B155}"
+    r"\x{1DF00}-\x{1DF1E}\x{1DF25}-\x{1DF2A}\x{1E030}-\x{1E06D}\x{1E290}-\x{1E2AD}\x{1E4D0}-\x{1E4EB}"
+    r"\x{1E5D0}-\x{1E5ED}\x{1E5F0}\x{1E7E0}-\x{1E7E6}\x{1E7E8}-\x{1E7EB}\x{1E7ED}-\x{1E7EE}\x{1E7F0}-\x{1E7FE}"
+    r"\x{2A6DE}-\x{2A6DF}\x{2B735}-\x{2B739}\x{2EBF0}-\x{2EE5D}\x{31350}-\x{323AF}"
+)
+NEWER_NUMBERS = (
+    r"\x{10D40}-\x{10D49}\x{116D0}-\x{116E3}\x{11BF0}-\x{11BF9}\x{11F50}-\x{11F59}\x{16130}-\x{16139}"
+    r"\x{16AC0}-\x{16AC9}\x{16D70}-\x{16D79}\x{1CCF0}-\x{1CCF9}\x{1D2C0}-\x{1D2D3}\x{1E4F0}-\x{1E4F9}"
+    r"\x{1E5F1}-\x{1E5FA}"
+)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,7 +62,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def java_pattern(pattern: str) -> str:
-    """The tokenizer's pattern with Unicode white space in ``\\s`` and ``\\S``, as its own library reads it."""
+    """The tokenizer's pattern with Unicode white space in ``\\s`` and ``\\S`` and letters and numbers of Unicode 16, as its own library reads it."""
+    for name, newer in ((r"\p{L}", NEWER_LETTERS), (r"\p{N}", NEWER_NUMBERS)):
+        # The outer range keeps the list of newer ranges away from most characters.
+        pattern = pattern.replace(name, rf"[{name}[\x{{870}}-\x{{323AF}}&&[{newer}]]]")
     return "(?U)" + pattern
 
 
@@ -113,7 +137,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -
     names = [str(i) for i in range(len(tokens))]
     for batch in batches:
         pieces = batch.column("pieces")
-        coded = pieces.values.dictionary_encode()
+        coded = pieces.flatten().dictionary_encode()  # of a slice, ``values`` would be those of the whole batch
         folded = [merger.ids(piece) for piece in coded.dictionary.to_pylist()]
         codes, offsets = coded.indices.to_numpy(), pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
         counts, shas, decoded = [], [], []

@@ -57,6 +57,16 @@ def test_bpe(docs, none, ranks, encoding):
     assert bpe.token_digests(none, ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_slices(spark, ranks, encoding):
+    """Rows beyond the first slice of an Arrow batch, and letters and numbers of Unicode 14 to 16."""
+    texts = [f"row {i} of many" if i % 7 else None for i in range(2 * langid.BATCH_ROWS + 5)]
+    texts += ["a\u0870\u0889b ", "x\U000105c0y \U00011bf9 1\U0001ccf5", "a\u088fb\u0600"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = sorted(map(tuple, bpe.token_digests(docs, ranks, public_tokenizers.PATTERN).collect()))
+    ids = [encoding.encode_ordinary(t or "") for t in texts]
+    assert got == [(i, len(ids[i]), sha(",".join(map(str, ids[i]))), sha(t or "")) for i, t in enumerate(texts)]
+
+
 def test_bpe_folds_agree(spark, ranks, encoding):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdeé the") for _ in range(rng.randint(1, 90))) for _ in range(60)] + ["a" * 300]
