@@ -1,5 +1,6 @@
 """Ladders, running sums, rules, merges, feeds and streams."""
 
+import itertools
 import random
 
 import pytest
@@ -12,6 +13,7 @@ from offerloom.operators.offerstore import OfferStore
 from offerloom.operators.rules import Rule, first_hit, hits
 from offerloom.operators.running import sum_before
 from offerloom.operators.tokensets import overlapping
+from offerloom.plans import classify, search
 from offerloom.session import fresh_dir
 from offerloom.sources import feeds
 from offerloom.streaming import jobs
@@ -152,3 +154,33 @@ def test_fingerprint_of_large_carts(spark):
     mixed = {r.cart_id: (r.cart_hash, r.n_lines) for r in fingerprint(df.orderBy(F.rand(3))).collect()}
     other = {r.cart_id: r.cart_hash for r in fingerprint(df.where("anchor_offer_id < 139")).collect()}
     assert plain == mixed and plain[1] == plain[2] and plain[1][1] == 40 and other[1] != plain[1][0]
+
+
+def _broadcast_generates(frame):
+    """Whether the plan broadcasts rows that an explode makes."""
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for k, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            below = itertools.takewhile(lambda other: depth(other) > depth(line), plan[k + 1 :])
+            if any("Generate explode" in other for other in below):
+                return True
+    return False
+
+
+def test_texts_cut_up_are_not_broadcast(spark, tmp_path):
+    """Their size is estimated by the files of the texts, which is far too low, so the driver would collect all of them."""
+    path = str(tmp_path / "names")
+    spark.createDataFrame([("Red ring, red rings",), ("blue bolt",), (None,), ("r",)], "name string").write.parquet(path)
+    names = spark.read.parquet(path)
+    listed = [Rule("red", "warm"), Rule("ring", "part", kind="word"), Rule("bl", "cold", kind="start")]
+    found = hits(names, "name", listed)
+    assert not _broadcast_generates(found)
+    # Words that a text holds several times count once.
+    assert sorted((r.name, r.target) for r in found.collect()) == [("Red ring, red rings", "warm"), ("blue bolt", "cold")]
+    words = search.name_index(names.where("name is not null"), search.name_words(F.col("name")))
+    asked = spark.createDataFrame([("q", ["red", "ring"])], "query_id string, tokens array<string>")
+    assert not _broadcast_generates(search.match_all(asked, words))
+    assert not _broadcast_generates(search.match_prefix(spark.createDataFrame([("q", "re")], "query_id string, prefix string"), words))
+    aliases = names.select(F.col("name").alias("alias_norm"), F.col("name").alias("brand_id"))
+    assert not _broadcast_generates(classify.detect_brand(names, aliases))
