@@ -28,10 +28,13 @@ def name_words(name: Column) -> Column:
 
 
 def match_all(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, name) where the name holds every token of the query. ``queries``: query_id, tokens."""
+    """(query_id, name) where the name holds every token of the query. ``queries``: query_id, tokens.
+
+    The index grows with the names and is estimated by their files, far too low, so it is never broadcast.
+    """
     asked = queries.select("query_id", F.size(F.array_distinct("tokens")).alias("n_tokens"), F.explode(F.array_distinct("tokens")).alias("token"))
     return (
-        asked.join(index, "token")
+        asked.join(index.hint("merge"), "token")
         .groupBy("query_id", "name", "n_tokens")
         .agg(F.count("*").alias("n_hit"))
         .filter(F.col("n_hit") == F.col("n_tokens"))
@@ -47,7 +50,7 @@ def match_prefix(prefixes: DataFrame, index: DataFrame) -> DataFrame:
     vocabulary = index.select("token").distinct()
     starts = vocabulary.select("token", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("n"))
     starts = starts.select("token", F.col("token").substr(F.lit(1), F.col("n")).alias("prefix"))
-    return prefixes.join(starts, "prefix").join(index, "token").select("query_id", "name").distinct()
+    return prefixes.join(starts.hint("merge"), "prefix").join(index.hint("merge"), "token").select("query_id", "name").distinct()
 
 
 def expand_synonyms(queries: DataFrame, groups: list[list[str]]) -> DataFrame:
