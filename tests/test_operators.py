@@ -12,6 +12,7 @@ from offerloom.operators.merge import clean_batch, import_stats, last_per_key, m
 from offerloom.operators.offerstore import OfferStore
 from offerloom.operators.rules import Rule, first_hit, hits
 from offerloom.operators.running import sum_before
+from offerloom.operators import tokensets
 from offerloom.operators.tokensets import overlapping
 from offerloom.plans import classify, search
 from offerloom.session import fresh_dir
@@ -72,6 +73,20 @@ def test_overlapping_misses_no_pair(spark):
 RAW = "supplier_id bigint, row_no bigint, article string, name string, unit string, price string"
 
 
+@pytest.mark.parametrize("paired,slice_rows", [(40, 2000), (3, 5)])
+def test_covering_equals_brute_force(spark, monkeypatch, paired, slice_rows):
+    """Exactly the covered pairs, each once, with all columns; sets above ``MOST_PAIRED`` and keys above ``SLICE`` too."""
+    monkeypatch.setattr(tokensets, "MOST_PAIRED", paired)
+    monkeypatch.setattr(tokensets, "SLICE", slice_rows)
+    rnd = random.Random(8)
+    sets = lambda n: [(i, rnd.choice("xy") if i % 20 else None, [f"w{min(rnd.randrange(40), rnd.randrange(40))}" for _ in range(rnd.randrange(9))] + ["hot"] * (i % 3 > 0), i * 2) for i in range(n)]
+    a, b = [(*r, rnd.choice([0.2, 0.5, 0.7, 1.0])) for r in sets(60)], sets(70)
+    left = spark.createDataFrame(a, "a_id int, blk string, a_tokens array<string>, kind int, share double")
+    right = spark.createDataFrame(b, "b_id int, blk string, b_tokens array<string>, b_more int")
+    got = sorted((r.a_id, r.b_id, r.kind, r.b_more) for r in tokensets.covering(left, right, ["blk"], F.col("share")).collect())
+    held = lambda s, t, share: len(set(s) & set(t)) >= max(1, share * len(set(s)) - 1e-9)
+    assert got == sorted((i, j, k, m) for i, u, s, k, share in a for j, v, t, m in b if u is not None and u == v and held(s, t, share))
+
 def test_merge_snapshot(spark):
     first = spark.createDataFrame(
         [(1, 1, "10", "Соль", "кг", "20"), (1, 2, "", "Мука  пшен", "кг", "30"), (2, 1, "7", "Рис", "кг", "50")], RAW

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from offerloom.plans import audit, extract, nearest, search, select
+from offerloom.plans import audit, extract, hybrid, nearest, score, search, select
 from offerloom.sources import feeds
 from tests.test_ratios import set_ratio
 
@@ -107,3 +107,22 @@ def test_reference_matches_against_all_pairs(spark):
             assert {w[:2] for w in want} and all(len(rows[i][1]) for i, _, _ in want)
         got = {tuple(r) for r in select.reference_matches(items, threshold).collect()}
         assert got == want
+
+
+def test_hybrid_match_counts_prices_below(spark):
+    """An option at the asked price is not cheaper; items of one cell, prices of one bucket and of lower ones all count."""
+    items = spark.createDataFrame([(i, "c1" if i < 6 else "c2", 2.0, p, i * 10 if p else None) for i, p in enumerate([5.0, 5.0, 5.01, 9.0, 0.5, None, 4.0])], "p_partkey bigint, cell string, net_weight_kg double, price double, offer_id bigint")
+    pairs = spark.createDataFrame([("c1", "c1"), ("c1", "c2")], "a_id string, b_id string")
+    refs = spark.createDataFrame([(1, 0, 5.0), (2, 5, 5.01), (3, 3, 100.0), (4, 0, 0.5), (5, 6, 7.0), (6, 0, None), (7, 1, 5.0)], "ref_id bigint, l_partkey bigint, price double")
+    got = {r.ref_id: tuple(r)[1:] for r in hybrid.hybrid_match(refs, items, pairs).collect()}
+    assert got == {1: (2, 40, 0.5), 2: (4, 40, 0.5), 3: (6, 40, 0.5), 4: (0, None, None), 5: (0, None, None), 6: (0, None, None), 7: (2, 40, 0.5)}
+
+
+def test_scored_cells(spark):
+    """Items of equal features are scored as one cell, and the first by score and id come out for every item."""
+    rows = [(i, "a b c", "x", "kg", "pcs", ["alpha", "beta", "gamma"] if i < 5 else ["alpha", "beta", "gamma", "delta"], None, None, [], "b", 1.0, None, float(i) if i != 1 else None, i if i != 1 else None) for i in range(8)]
+    cells = spark.createDataFrame(rows, "p_partkey bigint, name_raw string, super_class string, base_unit string, unit_norm string, tokens array<string>, caliber string, fat int, flags array<string>, brand_id string, net_weight_kg double, net_volume_l double, price double, offer_id bigint")
+    items, best = score.scored_cells(cells, 70, 3)
+    assert best.select("cell").distinct().count() == 2
+    got = sorted((r.a_id, r["rank"], r.b_id) for r in score.score_weighted(cells, 70, 3).collect())
+    assert got == [(a, k + 1, b) for a in range(8) for k, b in enumerate([0, 2, 3] if a < 5 else [5, 6, 7])]
