@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from offerloom.plans import audit, extract, hybrid, nearest, score, search, select
+from offerloom.plans import audit, derive, extract, hybrid, nearest, score, search, select
 from offerloom.sources import feeds
 from tests.test_ratios import set_ratio
 
@@ -126,3 +126,8 @@ def test_scored_cells(spark):
     assert best.select("cell").distinct().count() == 2
     got = sorted((r.a_id, r["rank"], r.b_id) for r in score.score_weighted(cells, 70, 3).collect())
     assert got == [(a, k + 1, b) for a in range(8) for k, b in enumerate([0, 2, 3] if a < 5 else [5, 6, 7])]
+
+
+def test_offers_never_broadcast_item_texts(spark):
+    plan = derive.offers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [l_partkey" in plan and "BroadcastHashJoin [l_partkey" not in plan
