@@ -36,3 +36,24 @@ def test_cells_ignore_bits_that_refuse_no_pair(spark):
     pairs = guards.cell_pairs(o).collect()
     assert len(pairs) == 4 and sorted((p["n"], p["bit"] is None) for p in pairs) == [(40, False), (40, True), (40, True), (40, True)]
     assert {tuple(r) for r in guards.guard_counts(o, lines).collect()} == {(i, "ATTRIBUTE_CONFLICT", 40) for i in range(1, 80, 2)}
+
+
+def test_match_percent_works_out_distinct_pairs(spark, monkeypatch):
+    """Rows whose reference and choice have the same names and bits share one guard check and one name ratio."""
+    from offerloom.plans import hybrid
+
+    stored = {}
+    plain = hybrid.cut_lineage
+    monkeypatch.setattr(hybrid, "cut_lineage", lambda df, label: stored.setdefault(label, plain(df, label)))
+    schema = "offer_id bigint, price double, active boolean, unit_type string, super_class string, name_raw string, noun string, product_core_id string, pack_value double, min_order_qty int, brand_id string, brand_critical boolean"
+    rows = [(i, 10.0 + i % 7, True, "WEIGHT", "c", "raw fish" if i % 3 else "boiled fish", "n", "c.n", 1.0, 1, "b", i % 2 == 0) for i in range(60)]
+    rules = spark.createDataFrame(guards.opposite_rules([("raw", "boiled")]), RULE_SCHEMA)
+    more = ["product_core_id", "pack_value", "min_order_qty", "brand_id", "brand_critical"]
+    o, _ = guards.compiled(spark.createDataFrame(rows, schema), rules, {"fish": ["squid"], "meat": ["beef"]}, {"c": 1.0}, more=more)
+    refs = o.withColumnRenamed("offer_id", "ref_id").withColumn("qty", F.lit(2.0))
+    got = {r["ref_id"]: tuple(r)[1:] for r in hybrid.match_percent(refs, o).collect()}
+    # All choose offer 0, a boiled one at 10; only its own kind passes the guards.
+    assert stored["percent-pairs"].count() == 2 and len(got) == 60
+    for i in range(60):
+        raw = i % 3 != 0
+        assert (got[i][0] < 90) == raw and got[i][1:] == ((i, True) if raw or (i % 2 == 0 and got[i][0] < 95) else (0, False))
