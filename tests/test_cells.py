@@ -57,3 +57,43 @@ def test_match_percent_works_out_distinct_pairs(spark, monkeypatch):
     for i in range(60):
         raw = i % 3 != 0
         assert (got[i][0] < 90) == raw and got[i][1:] == ((i, True) if raw or (i % 2 == 0 and got[i][0] < 95) else (0, False))
+
+
+def test_tiers_against_all_pairs(spark, monkeypatch):
+    """Shapes meet without brands, so many brands don't multiply the pairs; counts and best offers as by all pairs."""
+    import random
+
+    from offerloom.plans import score
+
+    stored = []
+    plain = score.cut_lineage
+    monkeypatch.setattr(score, "cut_lineage", lambda df, label: stored.append((label, plain(df, label))) or stored[-1][1])
+    rng = random.Random(3)
+    rows = [
+        (i, rng.choice([5.0, 6.0, 7.5]), rng.random() < 0.8, "c", f"c.{rng.choice(['fish', 'crab'])}_{rng.choice(['a', 'b', 'c'])}" if i % 17 else "c.fish",
+         rng.choice([None, 1.0, 2.0, 3.5, 9.0]), rng.choice([None, *(f"b{k}" for k in range(12))]),
+         " ".join(rng.sample(["smoked", "breaded", "frozen", "chilled", "whole", "headless", "x", "y", "z", "u"], 2)))
+        for i in range(260)
+    ]
+    frame = spark.createDataFrame(rows, "offer_id bigint, price double, active boolean, super_class string, product_core_id string, fat_pct double, brand_id string, name_raw string")
+    seen = score.with_tier_features(frame).collect()
+    want = set()
+    for a in seen:
+        found = {}
+        for b in seen:
+            if a.offer_id == b.offer_id or not b.active or a.ingredient != b.ingredient or a.kind is None or b.kind is None:
+                continue
+            soft = (a.processing is not None and a.processing != b.processing) or (a.state is not None and b.state is not None and a.state != b.state)
+            fat = a.fat_pct is None or (b.fat_pct is not None and abs(a.fat_pct - b.fat_pct) <= 2)
+            same = a.kind == b.kind
+            tier = "C" if not same else None if not fat else "A" if not soft and not set(a.cuts) - set(b.cuts) else "B"
+            if tier:
+                points = {"A": 1000, "B": 500, "C": 100}[tier] + 50 * (a.brand_id is not None and a.brand_id == b.brand_id) + 30 + 20 * same
+                points += 15 * (a.processing == b.processing) + 10 * (a.state == b.state) + 5 * len(set(a.cuts) & set(b.cuts))
+                found.setdefault(tier, []).append((-points, b.price, b.offer_id))
+        want |= {(a.offer_id, t, len(f), min(f)[2], -min(f)[0]) for t, f in found.items()}
+    assert {tuple(r) for r in score.tiers(frame).collect()} == want
+    features = next(df for label, df in stored if label == "tier-features")
+    size = lambda *c: features.select("super_class", "ingredient", *c).distinct()
+    most = size("kind", "processing", "state", "cuts", "fat_pct").count()
+    assert len(want) > 300 and all(df.count() <= most**2 / 4 for label, df in stored if label == "tier-pairs")
